@@ -72,6 +72,31 @@ select concat('https://parking.example.net/welcome/', case r_regionkey when 0 th
 from {{region}}
 """
 
+# Messy single values and lists, one row per order.
+VALUES = """
+select o_orderkey as id,
+  concat('  <INFO', cast(o_orderkey % 23 as string), '@Example', cast(o_custkey % 5 as string),
+    '.COM>, ') as email,
+  case o_orderkey % 9 when 0 then concat('@Chan_', cast(o_custkey as string))
+    when 1 then concat('https://t.me/Team_', cast(o_custkey as string), '/?start=1')
+    when 2 then concat('HTTP://WWW.Telegram.me/News', cast(o_custkey as string), ';v=1')
+    when 3 then concat('t.me/joinchat/A', cast(o_custkey as string), '?x=1')
+    when 4 then concat('https://example.com/contact', cast(o_custkey as string))
+    when 5 then concat(' (bare-', cast(o_custkey as string), ') ')
+    when 6 then concat('//t.me/foo', cast(o_custkey as string)) when 7 then ' .,; '
+    else '' end as telegram,
+  case o_orderkey % 5 when 0 then concat('8 (9', lpad(cast(o_custkey % 97 as string), 2, '0'), ') 123-45-67')
+    when 1 then concat('+7 495 ', lpad(cast(o_custkey % 997 as string), 3, '0'), ' 11 22')
+    when 2 then '12345' when 3 then concat('7-912-345-67-', lpad(cast(o_custkey % 89 as string), 2, '0'))
+    else 'no phone' end as phone,
+  concat('Telegram: @Chan_', cast(o_custkey % 50 as string), ' or tg @desk', cast(o_orderkey % 7 as string),
+    ', see https://t.me/Team_', cast(o_custkey % 30 as string), '/ and http://www.telegram.me/chan_',
+    cast(o_custkey % 50 as string), '. Contact person: @nobody; mtg:@ab t.me/bare') as note,
+  concat('  Shop "', cast(o_orderkey as string), '",  ', o_orderstatus, ' ') as title,
+  concat(' https://shop', cast(o_orderkey % 997 as string), '.example.com ') as url
+from {orders}
+"""
+
 # Two spellings per site; for odd ones these are two URLs of one domain.
 RAW_SITES = """
 select o_orderkey * 2 as position,
@@ -95,6 +120,7 @@ from {orders} where o_orderkey % 14 = 0
 VIEWS = {
     "contact_pages": CONTACT_PAGES,
     "responses": RESPONSES,
+    "messy": VALUES,
     "raw_sites": RAW_SITES,
     "processed": PROCESSED,
 }
@@ -105,10 +131,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived view over the tables in ``sf_dir``."""
+    """A derived view over the tables in ``sf_dir``.
+
+    The page views are far larger than the tables they come from, so their rows
+    are spread over all cores, as the files of a real page table would be.
+    """
     sql = VIEWS[name]
     used = {t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in sql}
-    return spark.sql(sql, **used)
+    rows = spark.sql(sql, **used)
+    if "html" in rows.columns:
+        return rows.repartition(spark.sparkContext.defaultParallelism)
+    return rows
 
 
 def view_sql(name: str) -> str:

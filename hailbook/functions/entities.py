@@ -96,7 +96,7 @@ def _windows_1252(char: Column) -> Column:
 
 
 def _in_text(code: Column) -> Column:
-    return _windows_1252(_character(code))
+    return F.when(code == 0, F.lit(REPLACEMENT)).otherwise(_windows_1252(_character(code)))
 
 
 def _in_attribute(code: Column) -> Column:

@@ -1,9 +1,9 @@
 """Title, visible text, anchors and contacts of an HTML page.
 
 One left-to-right token pattern decides what is markup: comments, elements
-whose content is not text, declarations and tags. Splitting a page by it gives
-the text nodes; matching it gives the anchors. Everything is a Column
-expression, so pages are parsed where they are scanned.
+whose content is not text, declarations and tags. What lies between the tokens
+is text, and the anchors are among them. Everything is a Column expression, so
+pages are parsed where they are scanned, with no Python and no shuffle.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from hailbook.constants import WS
 from hailbook.functions.contacts import (
     dedupe_emails,
     dedupe_phones,
@@ -24,7 +25,7 @@ from hailbook.functions.contacts import (
     phones_in_text,
     telegrams_in_text,
 )
-from hailbook.functions.entities import decode_attribute, decode_text
+from hailbook.functions.entities import REPLACEMENT, decode_attribute, decode_text
 from hailbook.functions.text import StrCol, clean_whitespace, let, strip, text_or_empty
 
 _VALUE = r"""(?:'[^']*+'|"[^"]*+"|(?!['"])[^>\s]*+)"""
@@ -38,21 +39,28 @@ _END_OR_DECLARATION = r"</[^>]*+>|<[!?][^>]*+>"
 _HIDDEN = (
     rf"<(template|r[tp])(?=[\s/>]){_ATTRIBUTES}(?<!/)>.*?(?:</\s*+(?:\2|ruby)\s*+>|\z)"
 )
+# An anchor attribute by attribute; the group ends up with the last href.
+_ANCHOR = (
+    rf"<a(?=[\s/>])(?:[\s/]++|href(?=[\s=/>])(?:\s*+=++\s*+({_VALUE}))?+"
+    rf"|[^\s/>][^\s/=>]*+(?:\s*+=++\s*+{_VALUE})?+)*+>"
+)
 
 MARKUP = rf"(?is){_COMMENT}|{_CODE}|{_HIDDEN}|{_TAG}|{_END_OR_DECLARATION}"
 # Group 2 keeps the start tags outside comments, scripts and styles.
 KEEP_TAGS = rf"(?is){_COMMENT}|{_CODE}|({_TAG})"
-# Group 2 is an anchor with the text up to the next anchor tag, or a title with
-# its content. It is looked at ahead of the tag, so that the scan goes on right
-# behind the start tag.
-ANCHOR_OR_TITLE = (
+# Group 2 is the raw href of an anchor.
+HREFS = rf"(?is){_COMMENT}|{_CODE}|{_ANCHOR}|{_TAG}"
+# Group 2 is an anchor with all up to the next anchor tag, looked at ahead of
+# the tag, so that the scan goes on right behind it.
+ANCHORS = (
     rf"(?is){_COMMENT}|{_CODE}"
-    rf"|(?=(<a(?=[\s/>]){_ATTRIBUTES}>.*?(?=</?a[\s/>]|\z)"
-    rf"|<title(?=[\s/>]){_ATTRIBUTES}>.*?(?=</\s*+(?:title|head)\b|\z))?+){_TAG}"
+    rf"|(?=(<a(?=[\s/>]){_ATTRIBUTES}>.*?(?=</?a[\s/>]|\z)))?+{_TAG}"
 )
-HREF = (
-    rf"(?is)(?<=['\"\s/])(?:href(?=[\s=])\s*+=++\s*+({_VALUE})"
-    rf"|[^\s/>][^\s/=>]*+(?:\s*+=++\s*+{_VALUE})?+)"
+# Group 2 is the content of the first title outside comments and scripts.
+TITLE = (
+    rf"(?is)\A(?:{_COMMENT}|{_CODE}|(?!<title[\s/>]){_TAG}|{_END_OR_DECLARATION}"
+    rf"|[^<]++|<(?!title[\s/>]))*+"
+    rf"<title(?=[\s/>]){_ATTRIBUTES}>(.*?)(?=</\s*+(?:title|head)\b|\z)"
 )
 _INNER_TEMPLATE = (
     rf"(?is)<template(?=[\s/>]){_ATTRIBUTES}>(?:(?!</?template\b).)*+(?:</template\s*+>|\z)"
@@ -60,6 +68,9 @@ _INNER_TEMPLATE = (
 TEMPLATE_DEPTH = 4
 # Stands for removed markup, so that the text on both sides stays apart.
 CUT = "<!>"
+# NUL is no legal character of a page; it marks the borders of text nodes.
+BORDER = "\x00"
+_BORDERS = rf"(?<!{WS}){WS}*+\x00(?:{WS}|\x00)*+"
 
 
 def _open_cdata(html: Column) -> Column:
@@ -75,13 +86,15 @@ def _drop_templates(html: Column) -> Column:
     inner = F.regexp_replace(html, KEEP_TAGS, CUT + "$2")
     for _ in range(TEMPLATE_DEPTH):
         inner = F.regexp_replace(inner, _INNER_TEMPLATE, CUT)
-    nested = html.rlike(r"(?is)<template\b.*<template\b")
-    return F.when(nested, inner).otherwise(html)
+    return F.when(html.rlike(r"(?is)<template\b.*<template\b"), inner).otherwise(html)
 
 
 def _nodes_text(html: Column) -> Column:
-    nodes = F.transform(F.split(html, MARKUP, -1), lambda node: strip(decode_text(node)))
-    return F.array_join(F.filter(nodes, lambda node: node != ""), " ")
+    """Decoded text nodes, stripped, without the empty ones, joined by a blank."""
+    clean = F.when(html.contains(BORDER), F.translate(html, BORDER, REPLACEMENT)).otherwise(html)
+    nodes = decode_text(F.regexp_replace(clean, MARKUP, BORDER))
+    joined = F.regexp_replace(F.concat(F.lit(BORDER), nodes, F.lit(BORDER)), _BORDERS, " ")
+    return F.trim(joined)
 
 
 def page_text(html: StrCol) -> Column:
@@ -89,61 +102,28 @@ def page_text(html: StrCol) -> Column:
     return _nodes_text(_drop_templates(_open_cdata(text_or_empty(html))))
 
 
-def _marked(html: Column) -> Column:
-    """Anchors and titles in document order, as raw html."""
-    found = F.regexp_extract_all(html, F.lit(ANCHOR_OR_TITLE), 2)
-    return F.filter(found, lambda part: part != "")
-
-
-def _is_title(part: Column) -> Column:
-    return part.rlike(r"(?i)^<title[\s/>]")
-
-
-def _title_of(marked: Column) -> Column:
+def page_title(html: StrCol) -> Column:
     """First title, whitespace-clean; empty when there is none."""
-    first = F.get(F.filter(marked, _is_title), F.lit(0))
-    return F.coalesce(let(first, lambda t: clean_whitespace(_nodes_text(t))), F.lit(""))
-
-
-def _href(tag: Column) -> Column:
-    """Value of the last href attribute; NULL when there is none."""
-
-    def unquoted(raw: Column) -> Column:
-        bare = F.when(
-            raw.rlike("^['\"]"), F.substring(raw, F.lit(2), F.length(raw) - 2)
-        ).otherwise(raw)
-        return strip(decode_attribute(bare))
-
-    values = F.filter(F.regexp_extract_all(tag, F.lit(HREF), 1), lambda v: v != "")
-    return let(F.try_element_at(values, F.lit(-1)), unquoted)
-
-
-def _anchors_of(marked: Column) -> Column:
-    """Anchors that have an href: its decoded, stripped value and the raw html."""
-    anchors = F.transform(
-        F.filter(marked, lambda part: ~_is_title(part)),
-        lambda part: F.struct(
-            _href(F.regexp_extract(part, rf"(?is)^<a{_ATTRIBUTES}>", 0)).alias("href"),
-            part.alias("html"),
-        ),
-    )
-    return F.filter(anchors, lambda a: a["href"].isNotNull())
+    return clean_whitespace(_nodes_text(F.regexp_extract(text_or_empty(html), TITLE, 2)))
 
 
-def page_title(html: StrCol) -> Column:
-    return _title_of(_marked(text_or_empty(html)))
+def _href(raw: Column) -> Column:
+    """Attribute value without its quotes, decoded and stripped."""
+    quoted = raw.startswith('"') | raw.startswith("'")
+    bare = F.when(quoted, F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
+    return strip(let(bare, decode_attribute))
 
 
 def page_links(html: StrCol) -> Column:
-    """Href of every anchor, in document order."""
-    return _anchors_of(_marked(text_or_empty(html)))["href"]
+    """Href of every anchor that has one, in document order."""
+    raw = F.regexp_extract_all(text_or_empty(html), F.lit(HREFS), 2)
+    return F.transform(F.filter(raw, lambda value: value != ""), _href)
 
 
-def _after(href: Column, scheme: str) -> Column:
-    """Rest of the href behind ``scheme``, empty for other links."""
-    return F.when(
-        F.lower(href).startswith(scheme), F.substring(href, len(scheme) + 1, 1 << 30)
-    ).otherwise(F.lit(""))
+def _with_prefix(hrefs: Column, scheme: str) -> Column:
+    """What follows ``scheme`` in the hrefs that start with it."""
+    matching = F.filter(hrefs, lambda h: F.lower(F.substring(h, 1, len(scheme))) == scheme)
+    return F.transform(matching, lambda h: F.substring(h, len(scheme) + 1, 1 << 30))
 
 
 def is_telegram_link(href: StrCol) -> Column:
@@ -151,81 +131,80 @@ def is_telegram_link(href: StrCol) -> Column:
     return href.contains("t.me/") | href.contains("telegram.me/") | href.startswith("@")
 
 
-def _emails_of(text: Column, anchors: Column) -> Column:
+def emails_of(text: Column, hrefs: Column) -> Column:
     """Addresses in the text, then those of mailto links."""
-    linked = F.transform(anchors["href"], lambda h: normalize_email(_after(h, "mailto:")))
+    linked = F.transform(_with_prefix(hrefs, "mailto:"), normalize_email)
     return dedupe_emails(F.concat(emails_in_text(text), linked))
 
 
-def _telegrams_of(text: Column, anchors: Column) -> Column:
-    """Names in the text; then per Telegram link its target and its own text."""
-    links = F.filter(anchors, lambda a: is_telegram_link(a["href"]))
-    linked = F.transform(
-        links,
-        lambda a: F.concat(
-            F.array(normalize_telegram(a["href"])),
-            let(_nodes_text(a["html"]), telegrams_in_text),
-        ),
+def phones_of(text: Column, hrefs: Column) -> Column:
+    """Mobile numbers in the text, then the numbers of tel links."""
+    return dedupe_phones(F.concat(phones_in_text(text), _with_prefix(hrefs, "tel:")))
+
+
+def _linked_telegrams(html: Column) -> Column:
+    """Per Telegram link: its target, then what its own text names."""
+
+    def names(anchor: Column) -> Column:
+        return let(
+            _href(F.regexp_extract(anchor, "(?is)^" + _ANCHOR, 1)),
+            lambda href: F.when(
+                is_telegram_link(href),
+                F.concat(
+                    F.array(normalize_telegram(href)),
+                    let(_nodes_text(anchor), telegrams_in_text),
+                ),
+            ).otherwise(F.array().cast("array<string>")),
+        )
+
+    # Cheap test first: no Telegram link goes without one of these.
+    anchors = F.filter(
+        F.regexp_extract_all(html, F.lit(ANCHORS), 2), lambda a: a.rlike("(?i)me/|[@&]")
     )
-    return dedupe_telegrams(F.concat(telegrams_in_text(text), F.flatten(linked)))
+    return F.flatten(F.transform(anchors, names))
 
 
-def _phones_of(text: Column, anchors: Column) -> Column:
-    """Mobile numbers in the text, then the numbers of tel links."""
-    linked = F.transform(anchors["href"], lambda h: normalize_phone(_after(h, "tel:")))
-    return dedupe_phones(F.concat(phones_in_text(text), linked))
+def telegrams_of(text: Column, hrefs: Column, html: Column) -> Column:
+    """Names in the text, then those of Telegram links."""
+    linked = F.when(F.exists(hrefs, is_telegram_link), _linked_telegrams(html)).otherwise(
+        F.array().cast("array<string>")
+    )
+    return dedupe_telegrams(F.concat(telegrams_in_text(text), linked))
 
 
-def _from_page(html: StrCol, read: Callable[[Column, Column], Column]) -> Column:
-    """``read(text, anchors)`` of a page, with both derived once."""
+def _from_page(html: StrCol, read: Callable[[Column, Column, Column], Column]) -> Column:
+    """``read(text, hrefs, html)`` of a page, with each of the three derived once."""
     return let(
-        text_or_empty(html),
-        lambda page: let(
-            F.struct(
-                page_text(page).alias("text"), _anchors_of(_marked(page)).alias("anchors")
-            ),
-            lambda p: read(p["text"], p["anchors"]),
+        F.struct(
+            page_text(html).alias("text"),
+            page_links(html).alias("hrefs"),
+            text_or_empty(html).alias("html"),
         ),
+        lambda p: read(p["text"], p["hrefs"], p["html"]),
     )
 
 
 def page_emails(html: StrCol) -> Column:
-    return _from_page(html, _emails_of)
+    return _from_page(html, lambda text, hrefs, _: emails_of(text, hrefs))
 
 
 def page_telegrams(html: StrCol) -> Column:
-    return _from_page(html, _telegrams_of)
+    return _from_page(html, telegrams_of)
 
 
 def page_phones(html: StrCol) -> Column:
-    return _from_page(html, _phones_of)
+    return _from_page(html, lambda text, hrefs, _: phones_of(text, hrefs))
 
 
 def page_contacts(html: StrCol) -> Column:
-    """Struct of site name, emails, telegrams, phones and link targets.
+    """Struct of site name, emails, telegrams and phones of a page.
 
-    The page is tokenised twice in all, once for its text and once for its
-    anchors and title; every field reads from those.
+    For a table of pages ``operators.pages.with_contacts`` does the same in
+    steps of columns, which Spark compiles to better code.
     """
-
-    def contacts(p: Column) -> Column:
-        return F.struct(
-            _title_of(p["marked"]).alias("site_name"),
-            _emails_of(p["text"], p["anchors"]).alias("emails"),
-            _telegrams_of(p["text"], p["anchors"]).alias("telegrams"),
-            _phones_of(p["text"], p["anchors"]).alias("phones"),
-            p["anchors"]["href"].alias("hrefs"),
-        )
-
-    def with_anchors(p: Column) -> Column:
-        return F.struct(
-            p["text"], p["marked"], _anchors_of(p["marked"]).alias("anchors")
-        )
-
-    def parsed(page: Column) -> Column:
-        return F.struct(page_text(page).alias("text"), _marked(page).alias("marked"))
-
-    return let(
-        text_or_empty(html),
-        lambda page: let(parsed(page), lambda p: let(with_anchors(p), contacts)),
+    return F.struct(
+        page_title(html).alias("site_name"),
+        page_emails(html).alias("emails"),
+        page_telegrams(html).alias("telegrams"),
+        page_phones(html).alias("phones"),
     )

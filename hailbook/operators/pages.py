@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hailbook.functions.html import page_contacts
+from hailbook.functions.html import (
+    emails_of,
+    page_links,
+    page_text,
+    page_title,
+    phones_of,
+    telegrams_of,
+)
 from hailbook.functions.text import text_or_empty
 
 CONTACT_FIELDS = ("site_name", "emails", "telegrams", "phones")
@@ -36,8 +43,24 @@ def with_contacts(pages: DataFrame) -> DataFrame:
     Runs in the scan stage: html never goes into a shuffle.
     """
     others = [name for name in pages.columns if name != "html"]
-    parsed = pages.select(*others, page_contacts("html").alias("contacts"))
-    return parsed.select(*others, "contacts.*")
+    html = text_or_empty("html")
+    text, hrefs = F.col("page_text"), F.col("hrefs")
+    # Two projections: what the second one reads several times is derived once.
+    parsed = pages.select(
+        *others,
+        html.alias("html"),
+        page_title("html").alias("site_name"),
+        page_text("html").alias("page_text"),
+        page_links("html").alias("hrefs"),
+    )
+    return parsed.select(
+        *others,
+        "site_name",
+        emails_of(text, hrefs).alias("emails"),
+        telegrams_of(text, hrefs, F.col("html")).alias("telegrams"),
+        phones_of(text, hrefs).alias("phones"),
+        "hrefs",
+    )
 
 
 def parsed_pages(accepted: DataFrame, with_links: bool = False) -> DataFrame:
