@@ -8,14 +8,13 @@ follows (``&copy2`` is ``©2``). Both decode in one pass, so ``&amp;lt;`` gives
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import cache
 from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hailbook.functions.text import StrCol, let, text_or_empty
+from hailbook.functions.text import StrCol, text_or_empty
 
 # Names that make up nearly all references; first in the table, so found first.
 FREQUENT = (
@@ -53,137 +52,113 @@ def _old_names() -> str:
     return "|".join(sorted(names, key=lambda n: (-len(n), n)))
 
 
-def _named(name: Column, table: Column) -> Column:
-    """Character of a reference name, NULL when there is no such name."""
-    key = F.concat(F.lit("\x02"), name, F.lit("\x03"))
-    return let(
-        F.instr(table, key),
-        lambda at: F.when(
-            at > 0,
-            # A name stands for one or two characters.
-            F.substring_index(
-                F.substring(table, at + F.length(name) + 2, F.lit(3)), "\x02", 1
-            ),
-        ),
-    )
+# The rules are SQL lambdas: nested as they are, they are short to write and
+# quick to build. ``bind`` names a value that an expression reads many times.
 
 
-def _code_point(number: Column) -> Column:
-    """Value of ``65`` or ``x41``; out-of-range numbers become -1."""
-    is_hex = number.rlike("^[xX]")
-    digits = F.regexp_replace(number, "^[xX]?0*", "")
-    return (
-        F.when(F.length(digits) > 7, F.lit(-1))
-        .when(digits == "", F.lit(0))
-        .when(is_hex, F.conv(digits, 16, 10).cast("int"))
-        .otherwise(F.when(is_hex, F.lit("0")).otherwise(digits).cast("int"))
-    )
+def _bind(value: str, name: str, body: str) -> str:
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _character(code: Column) -> Column:
-    """One character; surrogates and impossible values become U+FFFD."""
-    bad = (code < 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
-    return (
-        F.when(bad, F.lit(REPLACEMENT))
-        # A decoder would take a leading U+FEFF as a byte order mark.
-        .when(code == 0xFEFF, F.lit("\ufeff"))
-        .otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+def _named(name: str) -> str:
+    """Character of a reference name, NULL when there is no such name."""
+    # A name stands for one or two characters.
+    char = (
+        f"substring_index(substring(s.names, at + length({name}) + 2, 3), '\\u0002', 1)"
     )
+    key = f"concat('\\u0002', {name}, '\\u0003')"
+    return _bind(f"instr(s.names, {key})", "at", f"if(at > 0, {char}, null)")
 
 
-def _windows_1252(char: Column) -> Column:
-    return F.translate(char, C1_FROM, C1_TO)
+def _code_point(number: str) -> str:
+    """Value of ``65`` or ``x41``; numbers out of range become -1."""
+    digits = "trim(leading '0xX' from n)"
+    value = f"""case when length({digits}) > 7 then -1 when {digits} = '' then 0
+      when n rlike '^[xX]' then cast(conv({digits}, 16, 10) as int)
+      else cast({digits} as int) end"""
+    return _bind(number, "n", value)
 
 
-def _in_text(code: Column) -> Column:
-    return F.when(code == 0, F.lit(REPLACEMENT)).otherwise(_windows_1252(_character(code)))
+# One character; surrogates and impossible values become U+FFFD, and a decoder
+# would take a leading U+FEFF as a byte order mark.
+_CHARACTER = f"""translate(
+  case when c <= 0 or c > 1114111 or c between 55296 and 57343 then '{REPLACEMENT}'
+    when c = 65279 then '\ufeff'
+    else decode(unhex(lpad(hex(c), 8, '0')), 'UTF-32') end,
+  '{C1_FROM}', '{C1_TO}')"""
 
+# Code points that an attribute value drops.
+_DROPPED = """(c between 1 and 8 or c = 11 or c between 14 and 31 or c = 127
+  or c between 64976 and 65007 or (c > 0 and c % 65536 in (65534, 65535)))"""
 
-def _in_attribute(code: Column) -> Column:
-    never = (
-        code.between(0x1, 0x8)
-        | code.between(0xB, 0xB)
-        | code.between(0xE, 0x1F)
-        | code.between(0x7F, 0x7F)
-        | code.between(0xFDD0, 0xFDEF)
-        | ((code > 0) & F.pmod(code, F.lit(0x10000)).isin(0xFFFE, 0xFFFF))
-    )
-    return (
-        F.when(code == 0, F.lit(REPLACEMENT))
-        .when(never, F.lit(""))
-        .otherwise(_windows_1252(_character(code)))
-    )
+_LITERAL = "concat('&', piece)"
 
 
-def _decode(value: StrCol, after_ampersand: Callable[[Column, Column], Column]) -> Column:
-    """Split at ``&`` and rewrite every piece that follows one."""
-    text = text_or_empty(value)
-
-    def pieces(table: Column) -> Column:
-        return F.transform(
-            F.split(text, "&", -1),
-            lambda piece, i: F.when(i == 0, piece).otherwise(after_ampersand(piece, table)),
-        )
-
-    decoded = F.array_join(let(F.lit(_table()), pieces), "")
-    return F.when(text.contains("&"), decoded).otherwise(text)
-
-
-def _text_piece(piece: Column, table: Column) -> Column:
-    number_pattern = r"^#([0-9]++|[xX][0-9a-fA-F]++)(?![0-9a-fA-F])"
-    name_pattern = r"^([a-zA-Z][-.a-zA-Z0-9]*+)"
-    literal = F.concat(F.lit("&"), piece)
-
-    def by_number(number: Column) -> Column:
-        rest = F.regexp_replace(piece, number_pattern + ";?", "")
-        return F.when(number == "", literal).otherwise(
-            F.concat(let(_code_point(number), _in_text), rest)
-        )
-
-    def by_name(name: Column) -> Column:
-        # An unknown name stays as it is, without its semicolon.
-        rest = F.regexp_replace(piece, name_pattern + ";?", "")
-        return F.concat(F.coalesce(_named(name, table), F.concat(F.lit("&"), name)), rest)
-
-    return (
-        F.when(piece.startswith("#"), let(F.regexp_extract(piece, number_pattern, 1), by_number))
-        .when(piece.rlike("^[a-zA-Z]"), let(F.regexp_extract(piece, name_pattern, 1), by_name))
-        .otherwise(literal)
+def _number_rule(pattern: str, character: str) -> str:
+    number = f"regexp_extract(piece, r'^#({pattern})', 1)"
+    char = _bind(_code_point(number), "c", character)
+    return f"concat({char}, regexp_replace(piece, r'^#(?:{pattern});?', ''))"
+
+
+def _text_rule() -> str:
+    number = "[0-9]++|[xX][0-9a-fA-F]++"
+    name = "[a-zA-Z][-.a-zA-Z0-9]*+"
+    # An unknown name stays as it is, without its semicolon.
+    named = _bind(
+        f"regexp_extract(piece, r'^{name}', 0)",
+        "name",
+        f"""concat(coalesce({_named("name")}, concat('&', name)),
+          regexp_replace(piece, r'^{name};?', ''))""",
     )
+    return f"""case
+      when piece rlike r'^#(?:{number})(?![0-9a-fA-F])' then {_number_rule(number, _CHARACTER)}
+      when piece rlike '^[a-zA-Z]' then {named}
+      else {_LITERAL} end"""
 
 
-def _attribute_piece(piece: Column, table: Column) -> Column:
-    number_pattern = r"^#([0-9]++|[xX][0-9a-fA-F]++)"
-    name_pattern = r"^([^\t\n\f <&#;]{1,32});"
-    old_pattern = f"^({_old_names()})"
-    literal = F.concat(F.lit("&"), piece)
+def _attribute_rule() -> str:
+    number = "[0-9]++|[xX][0-9a-fA-F]++"
+    full = r"[^\t\n\f <&#;]{1,32}"
+    old = _old_names()
+    # A full name with its semicolon, else the longest old name in front.
+    by_old_name = _bind(
+        f"regexp_extract(piece, r'^(?:{old})', 0)",
+        "old",
+        f"""if(old = '', {_LITERAL},
+          concat({_named("old")}, regexp_replace(piece, r'^(?:{old})', '')))""",
+    )
+    by_full_name = _bind(
+        _bind(f"regexp_extract(piece, r'^({full});', 1)", "name", _named("name")),
+        "char",
+        f"if(char is null, {by_old_name}, concat(char, regexp_replace(piece, r'^{full};', '')))",
+    )
+    return f"""case
+      when piece rlike r'^#(?:{number})' then
+        {_number_rule(number, f"if({_DROPPED}, '', {_CHARACTER})")}
+      when startswith(piece, '#') then {_LITERAL}
+      else {by_full_name} end"""
 
-    def by_number(number: Column) -> Column:
-        rest = F.regexp_replace(piece, number_pattern + ";?", "")
-        return F.when(number == "", literal).otherwise(
-            F.concat(let(_code_point(number), _in_attribute), rest)
-        )
 
-    def by_old_name(name: Column) -> Column:
-        rest = F.regexp_replace(piece, old_pattern, "")
-        return F.when(name == "", literal).otherwise(F.concat(_named(name, table), rest))
+@cache
+def _decoder(attribute: bool) -> str:
+    """Split at ``&`` and rewrite every piece that follows one."""
+    rule = _attribute_rule() if attribute else _text_rule()
+    return f"""s -> if(contains(s.text, '&'),
+      array_join(transform(split(s.text, '&', -1), (piece, i) -> if(i = 0, piece, {rule})), ''),
+      s.text)"""
 
-    def by_name(char: Column) -> Column:
-        rest = F.regexp_replace(piece, name_pattern, "")
-        old = let(F.regexp_extract(piece, old_pattern, 1), by_old_name)
-        return F.when(char.isNull(), old).otherwise(F.concat(char, rest))
 
-    # A full name with its semicolon, else the longest old name in front.
-    return F.when(
-        piece.startswith("#"), let(F.regexp_extract(piece, number_pattern, 1), by_number)
-    ).otherwise(let(_named(F.regexp_extract(piece, name_pattern, 1), table), by_name))
+def _decode(value: StrCol, attribute: bool) -> Column:
+    source = F.struct(text_or_empty(value).alias("text"), F.lit(_table()).alias("names"))
+    decoded = F.call_function("transform", F.array(source), F.expr(_decoder(attribute)))
+    return F.get(decoded, F.lit(0))
 
 
 def decode_text(value: StrCol) -> Column:
     """Decode character references in visible text."""
-    return _decode(value, _text_piece)
+    return _decode(value, attribute=False)
 
 
 def decode_attribute(value: StrCol) -> Column:
     """Decode character references in an attribute value."""
-    return _decode(value, _attribute_piece)
+    return _decode(value, attribute=True)

@@ -39,32 +39,36 @@ def _bad_brackets(netloc: Column) -> Column:
     return netloc.contains("[") != netloc.contains("]")
 
 
+# Optional scheme, then a host in which brackets are either both there or not.
+_HOST = (
+    r"(?is)\A(?:https?://)?"
+    r"(?:(?=[^/?#]*\[)(?=[^/?#]*\])|(?![^/?#]*[\[\]]))([^/?#]*)"
+)
+
+
 def normalize_url(raw: StrCol) -> Column:
     """Lowercase scheme and host, https by default, path only, ``/`` dropped."""
     value = strip(raw)
-    absolute = _drop_unsafe(
-        F.when(is_http_url(value), value).otherwise(F.concat(F.lit("https://"), value))
-    )
-    netloc = F.lower(_part(absolute, 2))
-    path = F.regexp_replace(_part(absolute, 3), LAST_PARAMS, "")
-    return F.when((value == "") | _bad_brackets(netloc), F.lit("")).otherwise(
+    path = _drop_unsafe(F.regexp_extract(value, _HOST + "([^?#]*)", 2))
+    return F.when(
+        value.rlike(_HOST.replace(r"\A", r"\A(?=.)")),
         F.concat(
-            F.lower(_part(absolute, 1)),
-            F.lit("://"),
-            netloc,
-            F.when(path == "/", F.lit("")).otherwise(path),
-        )
-    )
+            F.when(value.rlike("(?i)^http://"), F.lit("http://")).otherwise(F.lit("https://")),
+            normalize_domain(raw),
+            # Parameters of the last segment go, and a path that is only "/".
+            F.regexp_replace(path, r"\A/(?:;[^/]*)?\z|;[^/]*\z", ""),
+        ),
+    ).otherwise(F.lit(""))
 
 
 def domain_of(url: StrCol) -> Column:
-    """Host part, lowercased, of a URL that is already absolute."""
-    return F.lower(F.regexp_extract(col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+    """Host part, lowercased, of a URL that is already normalised."""
+    return F.lower(F.regexp_extract(col(url), "^[a-z]+://([^/?#]*)", 1))
 
 
 def normalize_domain(raw: StrCol) -> Column:
     """Host (with port and ``www.``) of the normalised URL."""
-    return domain_of(normalize_url(raw))
+    return F.lower(_drop_unsafe(F.regexp_extract(strip(raw), _HOST, 1)))
 
 
 def is_http_url(url: StrCol) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hailbook.functions.urls import normalize_domain, normalize_url
+from hailbook.functions.urls import domain_of, normalize_domain, normalize_url
 from hailbook.operators.skew import salted_join
 from hailbook.session import fits_broadcast
 
@@ -31,7 +31,7 @@ def domains(lines: DataFrame) -> DataFrame:
 
 
 def with_domain(sites: DataFrame) -> DataFrame:
-    return sites.withColumn("domain", normalize_domain("site"))
+    return sites.withColumn("domain", domain_of("site"))
 
 
 def unprocessed_sites(sites: DataFrame, processed: DataFrame) -> DataFrame:

@@ -315,7 +315,7 @@ def processed_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
 def appended_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State written by two runs and read back."""
     path = shared_folder(spark, "processed")
-    earlier = view(spark, sf_dir, "processed").select(F.col("value").alias("site"))
+    earlier = view(spark, sf_dir, "processed").select(urls.normalize_url("value").alias("site"))
     append_processed_domains(earlier, path)
     append_processed_domains(_todo(spark, sf_dir), path)
     return load_processed_domains(spark, path)
