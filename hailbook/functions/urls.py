@@ -41,7 +41,7 @@ def _bad_brackets(netloc: Column) -> Column:
 
 # Optional scheme, then a host in which brackets are either both there or not.
 _HOST = (
-    r"(?is)\A(?:https?://)?"
+    r"(?is)\A(?:https?://)?+"
     r"(?:(?=[^/?#]*\[)(?=[^/?#]*\])|(?![^/?#]*[\[\]]))([^/?#]*)"
 )
 

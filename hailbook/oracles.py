@@ -107,6 +107,7 @@ def title_of(html: str) -> str:
     return clean(decode(inner))
 
 
+# The patterns and paths that decide results.
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 PHONE = r"(?:\+7|8)\s*\(?\s*9\d{2}\s*\)?[\s-]*\d{3}[\s-]*\d{2}[\s-]*\d{2}"
 LINK = r"(?i)https?://(?:www\.)?(?:t\.me|telegram\.me)/([A-Za-z0-9_]{3,32})"

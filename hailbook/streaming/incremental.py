@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from hailbook.functions.urls import normalize_domain
 from hailbook.operators.pages import with_contacts
 from hailbook.schema import PAGES
+from hailbook.session import fits_broadcast
+
+STATE_PARTS = 16
 
 
 def stream_pages(
@@ -17,10 +21,25 @@ def stream_pages(
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
 
 
-def unprocessed_pages(pages: DataFrame, processed: DataFrame) -> DataFrame:
-    """Pages whose domain is not in the static state; batch or stream."""
+def unprocessed_pages(
+    pages: DataFrame, processed: DataFrame, parts: int = STATE_PARTS
+) -> DataFrame:
+    """Pages whose domain is not in the static state; batch or stream.
+
+    A small state is broadcast by the optimizer and pages stay where they are.
+    For a large one every domain is split into ``parts`` by the hash of the
+    URL, so that one busy host does not end up in one task.
+    """
     keyed = pages.withColumn("domain", normalize_domain("url"))
-    return keyed.join(processed, "domain", "left_anti").select(*pages.columns)
+    if fits_broadcast(processed):
+        left = keyed.join(processed, "domain", "left_anti")
+    else:
+        part = F.pmod(F.xxhash64("url"), F.lit(parts)).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+        left = keyed.withColumn("part", part).join(
+            processed.withColumn("part", every), ["domain", "part"], "left_anti"
+        )
+    return left.select(*pages.columns)
 
 
 def page_contact_rows(pages: DataFrame) -> DataFrame:
