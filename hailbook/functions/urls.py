@@ -23,6 +23,8 @@ URL_PARTS = (
     r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?\z"
 )
 LAST_PARAMS = r";[^/]*\z"
+# No dot or empty segments, parameters, query or fragment.
+PLAIN_FOLDER = r"^https?://[^/?#\s]+(?:/[^/?#;.\s][^/?#;\s]*)*/\z"
 NOT_A_PAGE = r"^(?:mailto:|tel:|javascript:|#)"
 
 
@@ -280,7 +282,10 @@ def contact_path_urls(base_url: StrCol) -> Column:
     """The usual contact paths, placed below the path of ``base_url``."""
     folder = F.concat(F.rtrim(col(base_url), F.lit("/")), F.lit("/"))
     # One reference is resolved; the others differ in the last segment only.
-    prefix = F.regexp_replace(absolute_url(folder, F.lit("x")), r"x\z", "")
+    # Below a plain folder there is nothing to resolve.
+    prefix = F.when(folder.rlike(PLAIN_FOLDER), folder).otherwise(
+        F.regexp_replace(absolute_url(folder, F.lit("x")), r"x\z", "")
+    )
     return let(
         prefix, lambda p: F.array(*[F.concat(p, F.lit(path)) for path in CONTACT_PATHS])
     )
