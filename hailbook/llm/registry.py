@@ -1,8 +1,11 @@
 """Queries and SQL of the numbered operators."""
 
-from hailbook.llm import exact_dedup, licence_scan
+from hailbook.llm import byte_bpe, exact_dedup, language_id, licence_scan, quality
 
 QUERIES = {
+    "op2_byte_bpe": byte_bpe.query,
+    "op6_language_id": language_id.query,
+    "op7_quality": quality.query,
     "op8_licence_scan": licence_scan.query,
     "op9_exact_dedup": exact_dedup.query,
 }
