@@ -109,18 +109,16 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 def window_hashes(units: np.ndarray, size: int) -> np.ndarray:
     """Hash of ``units[i : i + size]`` for every i; the caller masks windows over text ends."""
     count = max(0, len(units) - size + 1)
-    at = np.arange(count)
-    return span_hash(prefix_sums(units), at, at + size)
+    sums = prefix_sums(units)
+    return mix((sums[size : size + count] - sums[:count]) * powers(count, _INVERSE))
 
 
 def inside_text(first: np.ndarray, size: int, count: int) -> np.ndarray:
     """For each of ``count`` window starts, whether the window stays in one text; ``first``: texts' first units."""
-    ok = np.ones(count, bool)
-    for back in range(1, size):
-        at = first[1:-1] - back
-        at = at[(at >= 0) & (at < count)]
-        ok[at] = False
-    return ok
+    steps = np.zeros(count + 1, np.int32)
+    np.add.at(steps, np.clip(first[1:-1] - size + 1, 0, count), 1)
+    np.add.at(steps, np.clip(first[1:-1], 0, count), -1)
+    return np.cumsum(steps)[:count] == 0
 
 
 def sliding(values: np.ndarray, size: int, pick) -> np.ndarray:
@@ -133,14 +131,38 @@ def sliding(values: np.ndarray, size: int, pick) -> np.ndarray:
     return out
 
 
-def anchors(hashes: np.ndarray, size: int) -> np.ndarray:
-    """Positions that hold the least hash of some run of ``size`` hashes.
+_PLACE = np.uint64((1 << 36) - 1)  # low bits for a position, the rest for the hash
 
-    Equal runs have their anchors at equal offsets, so whatever two texts share
-    that is long enough for a run, they share an anchor of it.
+
+def anchored(units: np.ndarray, first: np.ndarray, size: int, gram: int) -> dict[str, np.ndarray]:
+    """Anchors of all windows of ``size`` units that stay in one text.
+
+    A window's anchor is the leftmost of its ``gram``-unit grams with the least
+    hash, so equal windows have equal anchors at equal offsets. Windows of one
+    anchor are neighbours. Returned, by anchor: ``at`` (its place), ``low`` and
+    ``high`` (its first and last window), ``key`` (hash of the gram), ``context``
+    (hash of all units its windows cover, and of the anchor's place in them),
+    ``text`` (number of the text).
     """
-    if len(hashes) < size:
-        return np.zeros(0, np.int64)
-    least = sliding(hashes, size, np.minimum)
-    padded = np.concatenate([np.zeros(size - 1, np.uint64), least, np.zeros(size - 1, np.uint64)])
-    return np.flatnonzero(sliding(padded, size, np.maximum) == hashes)
+    count = len(units) - size + 1
+    if count <= 0:
+        none = np.zeros(0, np.int64)
+        return {"at": none, "low": none, "high": none, "key": none.astype(np.uint64), "context": none.astype(np.uint64), "text": none}
+    sums = prefix_sums(units)
+    grams = len(units) - gram + 1
+    hashes = mix((sums[gram:] - sums[:grams]) * powers(grams, _INVERSE))
+    packed = (hashes & ~_PLACE) | np.arange(grams, dtype=np.uint64)
+    owner = (sliding(packed, size - gram + 1, np.minimum) & _PLACE).astype(np.int64)
+    valid = inside_text(first, size, count)
+    change = np.ones(count, bool)
+    change[1:] = (owner[1:] != owner[:-1]) | (valid[1:] != valid[:-1])
+    low = np.flatnonzero(change)
+    high = np.append(low[1:], count) - 1
+    keep = valid[low]
+    low, high = low[keep], high[keep]
+    at = owner[low]
+    key = hashes[at]
+    shape = (at - low).astype(np.uint64) << np.uint64(32) | (high - low).astype(np.uint64)
+    context = span_hash(sums, low, high + size) ^ mix(shape)
+    return {"at": at, "low": low, "high": high, "key": key, "context": context,
+            "text": np.searchsorted(first, low, "right") - 1}

@@ -43,13 +43,13 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, tag: Column, how:
     return left.join(groups.withColumn("_tag", tag), [key, "_tag"], how).drop("_tag")
 
 
-def in_blocks(docs: DataFrame, key: str, text: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
+def in_blocks(docs: DataFrame, key: str, text: str, block_bytes: int = BLOCK_BYTES, least: int = 1) -> tuple[DataFrame, int]:
     """(block, key, text) with whole documents spread over blocks of about ``block_bytes``, and the total bytes.
 
     The block is a hash of the key, so a task that runs again sees the same
     documents. One cheap pass sums the text lengths.
     """
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    count = max(1, -(-total // block_bytes))
+    count = max(least, -(-total // block_bytes))
     block = F.pmod(F.xxhash64(F.col(key)), F.lit(count)).cast("int")
     return docs.select(block.alias("block"), F.col(key).alias("doc_id"), F.col(text).alias("text")), total

@@ -1,13 +1,23 @@
 """Queries and SQL of the numbered operators."""
 
-from hailbook.llm import byte_bpe, exact_dedup, language_id, licence_scan, quality
+from hailbook.llm import (
+    byte_bpe,
+    exact_dedup,
+    language_id,
+    licence_scan,
+    quality,
+    substring_dedup,
+    suffix_dedup,
+)
 
 QUERIES = {
     "op2_byte_bpe": byte_bpe.query,
+    "op3_substring_dedup": substring_dedup.query,
     "op6_language_id": language_id.query,
     "op7_quality": quality.query,
     "op8_licence_scan": licence_scan.query,
     "op9_exact_dedup": exact_dedup.query,
+    "op10_suffix_dedup": suffix_dedup.query,
 }
 ORACLES = {
     "op8_licence_scan": licence_scan.SQL,
