@@ -2,17 +2,21 @@
 
 from hailbook.llm import (
     byte_bpe,
+    decontamination,
     exact_dedup,
     language_id,
     licence_scan,
     quality,
     substring_dedup,
     suffix_dedup,
+    token_counts,
 )
 
 QUERIES = {
+    "op1_decontamination": decontamination.query,
     "op2_byte_bpe": byte_bpe.query,
     "op3_substring_dedup": substring_dedup.query,
+    "op5_token_counts": token_counts.query,
     "op6_language_id": language_id.query,
     "op7_quality": quality.query,
     "op8_licence_scan": licence_scan.query,
@@ -20,6 +24,7 @@ QUERIES = {
     "op10_suffix_dedup": suffix_dedup.query,
 }
 ORACLES = {
+    "op5_token_counts": token_counts.SQL,
     "op8_licence_scan": licence_scan.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
 }
