@@ -6,6 +6,7 @@ from hailbook.llm import (
     exact_dedup,
     language_id,
     licence_scan,
+    ngram_join,
     quality,
     substring_dedup,
     suffix_dedup,
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_decontamination": decontamination.query,
     "op2_byte_bpe": byte_bpe.query,
     "op3_substring_dedup": substring_dedup.query,
+    "op4_ngram_join": ngram_join.query,
     "op5_token_counts": token_counts.query,
     "op6_language_id": language_id.query,
     "op7_quality": quality.query,
