@@ -140,13 +140,14 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str = public_tok
     return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded binary")
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by a space), decoded_sha256."""
+def digests(encoded: DataFrame, *more: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by a space), decoded_sha256 and ``more`` columns."""
     return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *more,
     )
 
 

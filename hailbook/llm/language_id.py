@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from hailbook.llm.arrays import blocks
 from hailbook.llm.common import documents
@@ -157,39 +158,60 @@ def labelled_sample(docs: DataFrame, key: str, text: str, lang: str, slots: int
     return least.orderBy("lang", "slot").collect()
 
 
-def identify(docs: DataFrame, net: Network | None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: doc_id, lang_pred, score.
-
-    The text alone decides. Null, empty and letterless texts are ``und`` with
-    score 0, and so is every text if nothing was learnt. The score is the mean
-    probability of the predicted language over the windows of the whole text.
-    """
-    kind = docs.schema[key].dataType.simpleString()
+def _identified(rows: DataFrame, net: Network | None) -> DataFrame:
+    """Adds lang_pred and score to rows whose last two columns are text and letters, and takes these two away."""
+    carried = rows.columns[:-2]
+    schema = StructType([*rows.schema.fields[:-2], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin, end, data, offsets in blocks(batch.column(1), 1 << 20):
+            texts, letter = batch.column(len(carried)), batch.column(len(carried) + 1)
+            for begin, end, data, offsets in blocks(texts, 1 << 20):
                 x, first = windows(data, offsets)
                 mean = np.zeros((end - begin, len(net.langs) if net else 1))
                 some = np.flatnonzero(np.diff(first))
                 if net and len(some):
                     p = np.concatenate([net.probabilities(x[at : at + 256]) for at in range(0, len(x), 256)])
                     mean[some] = np.add.reduceat(p, first[some], axis=0, dtype=np.float64) / np.diff(first)[some, None]
-                letters = batch.column(2).slice(begin, end - begin).to_numpy(zero_copy_only=False).astype(bool)
+                letters = letter.slice(begin, end - begin).to_numpy(zero_copy_only=False).astype(bool)
                 sure = letters & (mean.max(axis=1) > 0)
                 names = np.array(net.langs if net else [UNKNOWN], dtype=object)[mean.argmax(axis=1)]
+                part = batch.slice(begin, end - begin)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(begin, end - begin),
+                        *part.columns[: len(carried)],
                         pa.array(np.where(sure, names, UNKNOWN), pa.string()),
                         pa.array(np.where(sure, np.minimum(mean.max(axis=1), 1.0), 0.0), pa.float64()),
                     ],
-                    ["doc_id", "lang_pred", "score"],
+                    [*carried, "lang_pred", "score"],
                 )
 
-    letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), letters.alias("letters"))
-    return rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return rows.mapInArrow(run, schema)
+
+
+def has_letter(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
+def identify(docs: DataFrame, net: Network | None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per input row: doc_id, lang_pred, score.
+
+    The text alone decides. Null, empty and letterless texts are ``und`` with
+    score 0, and so is every text if nothing was learnt. The score is the mean
+    probability of the predicted language over the windows of the whole text.
+    """
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), has_letter(F.col(text)).alias("letters"))
+    return _identified(rows, net)
+
+
+def accepted(docs: DataFrame, net: Network | None, text: str = "text") -> DataFrame:
+    """Rows and columns of ``docs`` whose text has a language; without a network, whose text has a letter."""
+    if net is None:
+        return docs.filter(has_letter(F.col(text)))
+    carried = [F.col(f"`{name}`").alias(f"c{n}") for n, name in enumerate(docs.columns)]
+    rows = docs.select(*carried, F.col(text).alias("text"), has_letter(F.col(text)).alias("letters"))
+    found = _identified(rows, net).filter(F.col("lang_pred") != UNKNOWN)
+    return found.select(*[F.col(f"c{n}").alias(name) for n, name in enumerate(docs.columns)])
 
 
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Network | None:
