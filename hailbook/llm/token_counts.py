@@ -58,9 +58,9 @@ class Rollup:
         return f"{self.path}/batch={name}"
 
     def committed(self, name: str) -> bool:
-        """Whether the batch is there as a whole: its files appear when its job commits, with a marker."""
+        """Whether the batch is there: its one file appears as a whole when its job commits."""
         try:
-            return bool(self.spark.read.format("binaryFile").load(f"{self._batch(name)}/_SUCCESS").count())
+            return bool(self.spark.read.schema(TOTALS).parquet(self._batch(name)).inputFiles())
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
