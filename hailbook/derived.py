@@ -54,6 +54,7 @@ RESPONSES = f"""
 select concat(root, path) as requested_url,
   case when pos = 2 then concat(root, '/contacts')
     when pos = 0 and site_id % 17 = 2 then 'https://parking.example.net/welcome'
+    when site_id % 23 = 6 and pos in (0, 1) then null
     when pos = 0 and site_id % 13 = 3 then concat(replace(root, '://', '://www.'), '/home/')
     else concat(root, path) end as final_url,
   case when pos = 3 and site_id % 3 = 0 then 404 when pos = 0 and site_id % 19 = 4 then 503
@@ -129,8 +130,11 @@ VIEWS = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A test table. The pages are one small file, so its rows are spread over all cores."""
     path = f"{sf_dir}/{name}.parquet"
-    return read_pages(spark, path) if name == "pages" else spark.read.parquet(path)
+    if name == "pages":
+        return read_pages(spark, path).repartition(spark.sparkContext.defaultParallelism)
+    return spark.read.parquet(path)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

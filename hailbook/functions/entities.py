@@ -16,10 +16,6 @@ from pyspark.sql import functions as F
 
 from hailbook.functions.text import StrCol, text_or_empty
 
-# Names that make up nearly all references; first in the table, so found first.
-FREQUENT = (
-    "amp nbsp lt gt quot apos copy reg middot bull laquo raquo mdash ndash hellip rsquo"
-).split()
 REPLACEMENT = "\ufffd"
 
 # Code points 0x80-0x9f mean windows-1252 characters.
@@ -33,16 +29,20 @@ C1_FROM = "".join(a for a, _ in _C1_PAIRS)
 C1_TO = "".join(b for _, b in _C1_PAIRS)
 
 
+GROUPS = 256
+
+
 @cache
 def _table() -> str:
-    """All names and their characters as one searchable string.
+    """All names and their characters, in groups by the first two letters.
 
-    A map literal of this size is slow to ship with every task and is searched
-    key by key; one string literal is neither.
+    One string literal, split once when the plan is made: a name is looked for
+    in a group of some 100 characters, whether it is known or not.
     """
-    names = {name: html5[name + ";"] for name in FREQUENT}
-    names.update((name.rstrip(";"), char) for name, char in html5.items())
-    return "\x02" + "".join(f"{name}\x03{char}\x02" for name, char in names.items())
+    groups = ["\x02"] * GROUPS
+    for name, char in {name.rstrip(";"): char for name, char in html5.items()}.items():
+        groups[(ord(name[0]) + 7 * ord(name[1])) % GROUPS] += f"{name}\x03{char}\x02"
+    return "\x04".join(groups)
 
 
 @cache
@@ -63,11 +63,11 @@ def _bind(value: str, name: str, body: str) -> str:
 def _named(name: str) -> str:
     """Character of a reference name, NULL when there is no such name."""
     # A name stands for one or two characters.
-    char = (
-        f"substring_index(substring(s.names, at + length({name}) + 2, 3), '\\u0002', 1)"
-    )
+    char = f"substring_index(substring(known, at + length({name}) + 2, 3), '\\u0002', 1)"
     key = f"concat('\\u0002', {name}, '\\u0003')"
-    return _bind(f"instr(s.names, {key})", "at", f"if(at > 0, {char}, null)")
+    found = _bind(f"instr(known, {key})", "at", f"if(at > 0, {char}, null)")
+    group = f"(ascii({name}) + 7 * ascii(substring({name}, 2, 1))) % {GROUPS} + 1"
+    return _bind(f"element_at(s.names, {group})", "known", found)
 
 
 def _code_point(number: str) -> str:
@@ -149,7 +149,7 @@ def _decoder(attribute: bool) -> str:
 
 
 def _decode(value: StrCol, attribute: bool) -> Column:
-    source = F.struct(text_or_empty(value).alias("text"), F.lit(_table()).alias("names"))
+    source = F.struct(text_or_empty(value).alias("text"), F.split(F.lit(_table()), "\x04", -1).alias("names"))
     decoded = F.call_function("transform", F.array(source), F.expr(_decoder(attribute)))
     return F.get(decoded, F.lit(0))
 

@@ -28,6 +28,10 @@ from hailbook.functions.contacts import (
 from hailbook.functions.entities import REPLACEMENT, decode_attribute, decode_text
 from hailbook.functions.text import StrCol, clean_whitespace, let, strip, text_or_empty
 
+# Stands for a < behind the last > of a page. No tag can end there, so nothing
+# has to be searched from it to the end of the page, over and over.
+OPEN = "\ufdd0"
+
 _VALUE = r"""(?:'[^']*+'|"[^"]*+"|(?!['"])[^>\s]*+)"""
 # Everything up to the end of a start tag; > inside a quoted value is skipped.
 _ATTRIBUTES = rf"(?:[^>=]++|=++\s*+{_VALUE})*+"
@@ -54,18 +58,16 @@ HREFS = rf"(?is){_COMMENT}|{_CODE}|{_ANCHOR}|{_TAG}"
 # the tag, so that the scan goes on right behind it.
 ANCHORS = (
     rf"(?is){_COMMENT}|{_CODE}"
-    rf"|(?=(<a(?=[\s/>]){_ATTRIBUTES}>.*?(?=</?a[\s/>]|\z)))?+{_TAG}"
+    rf"|(?=(<a(?=[\s/>]){_ATTRIBUTES}>.*?(?=[<{OPEN}]/?a[\s/>]|\z)))?+{_TAG}"
 )
 # Group 2 is the content of the first title outside comments and scripts.
 TITLE = (
     rf"(?is)\A(?:{_COMMENT}|{_CODE}|(?!<title[\s/>]){_TAG}|{_END_OR_DECLARATION}"
     rf"|[^<]++|<(?!title[\s/>]))*+"
-    rf"<title(?=[\s/>]){_ATTRIBUTES}>(.*?)(?=</\s*+(?:title|head)\b|\z)"
-)
-_INNER_TEMPLATE = (
-    rf"(?is)<template(?=[\s/>]){_ATTRIBUTES}>(?:(?!</?template\b).)*+(?:</template\s*+>|\z)"
+    rf"<title(?=[\s/>]){_ATTRIBUTES}>(.*?)(?=[<{OPEN}]/\s*+(?:title|head)\b|\z)"
 )
-TEMPLATE_DEPTH = 4
+# A page is cut in front of these; the piece after one starts with it.
+_TEMPLATE_EDGE = r"(?i)(?=<template[\s/>]|</template\s*+>)"
 # Stands for removed markup, so that the text on both sides stays apart.
 CUT = "<!>"
 # NUL is no legal character of a page; it marks the borders of text nodes.
@@ -73,19 +75,51 @@ BORDER = "\x00"
 _BORDERS = rf"(?<!{WS}){WS}*+\x00(?:{WS}|\x00)*+"
 
 
+def _closed(html: StrCol) -> Column:
+    """The page with a harmless ``OPEN`` for every < in its tail, behind the last >.
+
+    A comment that starts in the tail hides the rest of it.
+    """
+
+    def mark(page: Column) -> Column:
+        tail = F.substring_index(page, ">", -1)
+        head = F.substring(page, F.lit(1), F.length(page) - F.length(tail))
+        seen = F.translate(F.substring_index(tail, "<!--", 1), "<", OPEN)
+        return F.when(tail.contains("<"), F.concat(head, seen)).otherwise(page)
+
+    return let(text_or_empty(html), mark)
+
+
+def _opened(text: Column) -> Column:
+    """Undo the mark of :func:`_closed`."""
+    return F.when(text.contains(OPEN), F.translate(text, OPEN, "<")).otherwise(text)
+
+
 def _open_cdata(html: Column) -> Column:
-    """The content of a CDATA section is text."""
-    opened = F.regexp_replace(
-        html, r"(?s)<!\[CDATA\[(.*?)\]\s*+\]\s*+>", CUT + "$1" + CUT
+    """The content of a CDATA section is text; only up to the last end of one can there be any."""
+    head = F.regexp_extract(html, r"(?s)\A.*\]\s*+\]\s*+>", 0)
+    opened = F.concat(
+        F.regexp_replace(head, r"(?s)<!\[CDATA\[(.*?)\]\s*+\]\s*+>", CUT + "$1" + CUT),
+        F.substring(html, F.length(head) + 1, F.length(html)),
     )
     return F.when(html.contains("<![CDATA["), opened).otherwise(html)
 
 
 def _drop_templates(html: Column) -> Column:
-    """Cut templates from the inside out, for pages where they may nest."""
-    inner = F.regexp_replace(html, KEEP_TAGS, CUT + "$2")
-    for _ in range(TEMPLATE_DEPTH):
-        inner = F.regexp_replace(inner, _INNER_TEMPLATE, CUT)
+    """Cut templates, for pages where they may nest, in one pass that counts the open ones."""
+    pieces = F.split(F.regexp_replace(html, KEEP_TAGS, CUT + "$2"), _TEMPLATE_EDGE, -1)
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("kept"))
+
+    def step(state: Column, piece: Column) -> Column:
+        opens = piece.rlike(r"(?i)\A<template[\s/>]")
+        closes = piece.rlike(r"(?i)\A</template\s*+>")
+        depth = state["depth"]
+        after = F.when(opens, depth + 1).when(closes, F.greatest(depth - 1, F.lit(0))).otherwise(depth)
+        shown = F.when(closes, F.regexp_replace(piece, r"(?i)\A</template\s*+>", CUT)).otherwise(piece)
+        kept = F.when(after == 0, F.concat(state["kept"], shown)).otherwise(state["kept"])
+        return F.struct(after.alias("depth"), kept.alias("kept"))
+
+    inner = F.aggregate(pieces, start, step, lambda state: state["kept"])
     return F.when(html.rlike(r"(?is)<template\b.*<template\b"), inner).otherwise(html)
 
 
@@ -99,12 +133,13 @@ def _nodes_text(html: Column) -> Column:
 
 def page_text(html: StrCol) -> Column:
     """Visible text: stripped text nodes joined by one blank."""
-    return _nodes_text(_drop_templates(_open_cdata(text_or_empty(html))))
+    page = let(_closed(html), _open_cdata)
+    return _opened(_nodes_text(let(page, _drop_templates)))
 
 
 def page_title(html: StrCol) -> Column:
     """First title, whitespace-clean; empty when there is none."""
-    return clean_whitespace(_nodes_text(F.regexp_extract(text_or_empty(html), TITLE, 2)))
+    return clean_whitespace(_opened(_nodes_text(F.regexp_extract(_closed(html), TITLE, 2))))
 
 
 def _href(raw: Column) -> Column:
@@ -116,7 +151,7 @@ def _href(raw: Column) -> Column:
 
 def page_links(html: StrCol) -> Column:
     """Href of every anchor that has one, in document order."""
-    raw = F.regexp_extract_all(text_or_empty(html), F.lit(HREFS), 2)
+    raw = F.regexp_extract_all(_closed(html), F.lit(HREFS), 2)
     return F.transform(F.filter(raw, lambda value: value != ""), _href)
 
 
@@ -152,24 +187,34 @@ def _linked_telegrams(html: Column) -> Column:
                 is_telegram_link(href),
                 F.concat(
                     F.array(normalize_telegram(href)),
-                    let(_nodes_text(anchor), telegrams_in_text),
+                    let(_opened(_nodes_text(anchor)), telegrams_in_text),
                 ),
             ).otherwise(F.array().cast("array<string>")),
         )
 
     # Cheap test first: no Telegram link goes without one of these.
     anchors = F.filter(
-        F.regexp_extract_all(html, F.lit(ANCHORS), 2), lambda a: a.rlike("(?i)me/|[@&]")
+        F.regexp_extract_all(_closed(html), F.lit(ANCHORS), 2), lambda a: a.rlike("(?i)me/|[@&]")
     )
     return F.flatten(F.transform(anchors, names))
 
 
 def telegrams_of(text: Column, hrefs: Column, html: Column) -> Column:
-    """Names in the text, then those of Telegram links."""
-    linked = F.when(F.exists(hrefs, is_telegram_link), _linked_telegrams(html)).otherwise(
-        F.array().cast("array<string>")
-    )
-    return dedupe_telegrams(F.concat(telegrams_in_text(text), linked))
+    """Names in the text, then those of Telegram links.
+
+    What an anchor names is visible text too, unless a template or a ruby
+    annotation hides it. So if the text names nothing and nothing is hidden,
+    the targets of the links are all there is, and the anchors are not searched.
+    """
+    no_names = F.array().cast("array<string>")
+
+    def all_of(named: Column) -> Column:
+        hidden = html.rlike(r"(?i)<(?:template|r[tp])[\s/>]")
+        targets = F.transform(F.filter(hrefs, is_telegram_link), normalize_telegram)
+        linked = F.when((F.size(named) > 0) | hidden, _linked_telegrams(html)).otherwise(targets)
+        return F.concat(named, F.when(F.exists(hrefs, is_telegram_link), linked).otherwise(no_names))
+
+    return dedupe_telegrams(let(telegrams_in_text(text), all_of))
 
 
 def _from_page(html: StrCol, read: Callable[[Column, Column, Column], Column]) -> Column:

@@ -21,15 +21,19 @@ CONTACT_FIELDS = ("site_name", "emails", "telegrams", "phones")
 def accepted_pages(responses: DataFrame) -> DataFrame:
     """Successful responses with an html or plain text content type.
 
-    A fetch that failed has no status and no content type and is dropped.
+    A fetch that failed has no status and no content type and is dropped, and
+    so is a row without a requested URL. Without a final URL there was no
+    redirect: it is the requested one.
     """
     status = F.col("status_code")
     content_type = F.lower(text_or_empty("content_type"))
-    return responses.filter(
-        status.isNotNull()
+    kept = responses.filter(
+        F.col("requested_url").isNotNull()
+        & status.isNotNull()
         & ~status.between(400, 599)
         & (content_type.contains("html") | content_type.contains("text/plain"))
     )
+    return kept.withColumn("final_url", F.coalesce("final_url", "requested_url"))
 
 
 def page_keys(accepted: DataFrame) -> DataFrame:
@@ -63,17 +67,28 @@ def with_contacts(pages: DataFrame) -> DataFrame:
     )
 
 
-def parsed_pages(accepted: DataFrame, with_links: bool = False) -> DataFrame:
+def parsed_pages(accepted: DataFrame) -> DataFrame:
     """Contacts per requested URL, one row each.
 
     If a URL was fetched more than once, the row with the least final URL is
     taken, then the least contents: the same choice as :func:`page_keys`, and
-    the same on every run. Repeated URLs are combined before the shuffle.
+    the same on every run.
     """
     parsed = with_contacts(accepted.select("requested_url", "final_url", "html"))
-    fields = ["final_url", *CONTACT_FIELDS, *(["hrefs"] if with_links else [])]
     return (
         parsed.groupBy("requested_url")
-        .agg(F.min(F.struct(*fields)).alias("page"))
+        .agg(F.min(F.struct("final_url", *CONTACT_FIELDS)).alias("page"))
         .select("requested_url", "page.*")
     )
+
+
+def wanted_pages(accepted: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The accepted rows whose URL is in ``wanted`` (requested_url, distinct): only they are parsed."""
+    return accepted.join(wanted, "requested_url", "left_semi")
+
+
+def page_hrefs(accepted: DataFrame) -> DataFrame:
+    """``(requested_url, hrefs)`` per URL, of the row that the least final URL and links choose."""
+    links = accepted.select("requested_url", "final_url", page_links("html").alias("hrefs"))
+    least = links.groupBy("requested_url").agg(F.min(F.struct("final_url", "hrefs")).alias("page"))
+    return least.select("requested_url", "page.hrefs")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from hailbook.functions.urls import domain_of, normalize_domain, normalize_url
 from hailbook.operators.skew import salted_join
-from hailbook.session import fits_broadcast
 
 
 def clean_sites(lines: DataFrame) -> DataFrame:
@@ -37,15 +36,11 @@ def with_domain(sites: DataFrame) -> DataFrame:
 def unprocessed_sites(sites: DataFrame, processed: DataFrame) -> DataFrame:
     """Sites whose domain is not in the state from earlier runs.
 
-    The state is read once: two URLs of one new domain both stay. A small state
-    is broadcast by the optimizer; for a large one, domains that many sites
-    share are split over several tasks.
+    The state is read once: two URLs of one new domain both stay. Domains that
+    very many sites share are split over several tasks.
     """
     keyed = with_domain(sites)
-    if fits_broadcast(processed):
-        todo = keyed.join(processed, "domain", "left_anti")
-    else:
-        todo = salted_join(keyed, processed, "domain", "left_anti", spread=["site"])
+    todo = salted_join(keyed, processed, "domain", "left_anti", spread=["site"])
     return todo.select(*sites.columns)
 
 

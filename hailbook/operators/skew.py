@@ -8,23 +8,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROWS_PER_TASK = 1_000_000
-MAX_HOT_KEYS = 1_000
+MOST_HOT = 50_000
 
 
 def hot_keys(df: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """The most frequent keys and the number of tasks each one needs.
+    """Keys too frequent for one task and the number of tasks each one needs.
 
-    At most ``MAX_HOT_KEYS`` rows come back, so they can be broadcast. Any other
-    key holds less than one part in ``MAX_HOT_KEYS`` of the rows, or fewer than
-    ``rows_per_task``. Keys are counted by a 64-bit hash: the count is combined
-    before the shuffle, and two keys that share a hash are only split more.
+    A key is hot above ``rows_per_task`` rows or one part in ``MOST_HOT`` of all
+    rows, whichever is more. So there are fewer than ``MOST_HOT`` of them, which
+    bounds what is broadcast without leaving one out. Keys are counted by a
+    64-bit hash: the count is combined before the shuffle, and two keys that
+    share a hash are only split more.
     """
     counts = df.groupBy(F.xxhash64(key).alias("key_hash")).agg(F.count("*").alias("n"))
-    return (
-        counts.filter(F.col("n") > rows_per_task)
-        .orderBy(F.desc("n"), "key_hash")
-        .limit(MAX_HOT_KEYS)
-        .select("key_hash", F.ceil(F.col("n") / rows_per_task).cast("int").alias("parts"))
+    rows = df.agg(F.count("*").alias("rows")).scalar()
+    limit = F.greatest(F.lit(rows_per_task), F.ceil(rows / MOST_HOT))
+    return counts.filter(F.col("n") > limit).select(
+        "key_hash", F.ceil(F.col("n") / limit).cast("int").alias("parts")
     )
 
 
@@ -35,14 +35,16 @@ def salted_join(
     how: str,
     spread: Sequence[str],
     rows_per_task: int = ROWS_PER_TASK,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Join on ``key`` with the hot keys of ``left`` split over many tasks.
 
     ``right`` has one row per key; only its hot rows are repeated, once per
     part. ``spread`` names left columns that differ within a key: the part is a
-    hash of them, so a task that runs again takes the same rows.
+    hash of them, so a task that runs again takes the same rows. ``hot`` gives
+    the hot keys where they have been counted before.
     """
-    hot = F.broadcast(hot_keys(left, key, rows_per_task))
+    hot = F.broadcast(hot_keys(left, key, rows_per_task) if hot is None else hot)
     parts = F.coalesce(F.col("parts"), F.lit(1))
     on_hash = F.xxhash64(key) == F.col("key_hash")
     left_parts = (

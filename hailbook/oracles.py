@@ -7,6 +7,7 @@ simpler patterns that are enough for well-formed html.
 
 from __future__ import annotations
 
+from hailbook.constants import CONTACT_KEYWORDS, CONTACT_PATHS
 from hailbook.derived import view_sql
 
 # --- SQL snippets ---------------------------------------------------------------
@@ -173,8 +174,6 @@ def lists(separator=joined) -> str:
 
 # --- named parts ------------------------------------------------------------------
 
-PATHS = "contacts contact about about-us company support help customer-service feedback team".split()
-
 
 def _absolute(base: str, href: str) -> str:
     """Reference resolution for the links of the test tables."""
@@ -212,11 +211,11 @@ def _folder(base: str) -> str:
 
 
 def _candidates(base: str, hrefs: str | None, limit: int) -> str:
-    fixed = "[" + ", ".join(f"concat({_folder(base)}, '{p}')" for p in PATHS) + "]"
+    fixed = "[" + ", ".join(f"concat({_folder(base)}, '{p}')" for p in CONTACT_PATHS) + "]"
     if hrefs is None:
         return f"list_slice({fixed}, 1, {limit})"
     links = _internal(base, hrefs, 3 * limit)
-    likely = "regexp_matches(lower(u), 'contact|about|support|help|team|company')"
+    likely = f"regexp_matches(lower(u), '{'|'.join(CONTACT_KEYWORDS)}')"
     every = unique(
         f"list_concat({fixed}, list_filter({links}, lambda u: {likely}), "
         f"list_filter({links}, lambda u: not {likely}))"
@@ -235,7 +234,7 @@ PARTS["sites"] = f"""
 PARTS["done"] = f"select distinct {domain('value')} as domain from processed"
 PARTS["todo"] = f"select * from sites where {domain('site')} not in (select domain from done)"
 PARTS["accepted"] = """
-  select * from responses where status_code < 400 and (contains(lower(content_type), 'html')
+  select * replace (coalesce(final_url, requested_url) as final_url) from responses where status_code < 400 and (contains(lower(content_type), 'html')
     or contains(lower(content_type), 'text/plain'))"""
 PARTS["attempts"] = """
   select site, 0 as attempt, site as requested_url from todo
@@ -319,7 +318,7 @@ def _with(select: str, *parts: str) -> str:
         add(name)
     if not needed:
         return select
-    return "with " + ",\n".join(f"{n} as ({PARTS[n]})" for n in needed) + "\n" + select
+    return "with " + ",\n".join(f"{n} as {'materialized ' * (n == 'deep')}({PARTS[n]})" for n in needed) + "\n" + select
 
 
 def _exploded(name: str, key: str, values: str, source: str) -> str:
@@ -423,7 +422,7 @@ ORACLES: dict[str, str] = {
     "internal_links": _with("select url, pos, link from internal", "internal"),
     "link_priority": _with(
         "select url, pos, link, regexp_matches(lower(link), "
-        "'contact|about|support|help|team|company') as likely from internal",
+        f"'{'|'.join(CONTACT_KEYWORDS)}') as likely from internal",
         "internal",
     ),
     "read_site_lines": _with(

@@ -378,8 +378,8 @@ def entry_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _with_deep_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     accepted = pages.accepted_pages(view(spark, sf_dir, "responses"))
-    links = accepted.select("requested_url", html.page_links("html").alias("hrefs"))
-    hrefs = links.groupBy("requested_url").agg(F.min("hrefs").alias("hrefs"))
+    wanted = _entries(spark, sf_dir).select("requested_url").distinct()
+    hrefs = pages.page_hrefs(pages.wanted_pages(accepted, wanted))
     return crawl.with_candidates(_entries(spark, sf_dir), hrefs, DEEP)
 
 

@@ -1,4 +1,4 @@
-"""Session helpers: a local session, size estimates and the staging folder."""
+"""Session helpers: a local session and the staging folder."""
 
 from __future__ import annotations
 
@@ -25,29 +25,6 @@ def local_session(cores: int | str = 8, app_name: str = "hailbook") -> SparkSess
     return spark
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def fits_broadcast(df: DataFrame) -> bool:
-    """Whether the size estimate allows the optimizer to broadcast ``df``."""
-    conf = df.sparkSession._jsparkSession.sessionState().conf()
-    return plan_bytes(df) <= conf.autoBroadcastJoinThreshold()
-
-
-def spread_small(df: DataFrame, bytes_per_core: int = 8 << 20) -> DataFrame:
-    """Give each core a share of a table of few, small files.
-
-    Reading pages is work for the processor, and one small file is one task.
-    Larger tables have splits enough and are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if plan_bytes(df) > cores * bytes_per_core:
-        return df
-    return df.repartition(cores)
-
-
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder name below ``spark.checkpoint.dir``.
 

@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, DataFrameWriter
 
 from hailbook.constants import RESULT_COLUMNS
 from hailbook.sources.results import CSV_OPTIONS
 
 
-def append_results(rows: DataFrame, path: str) -> None:
-    """Append result rows; every part file has the header.
-
-    Quotes are doubled, empty values stay empty and blanks are kept, as a
-    standard CSV writer does.
-    """
-    (
+def _writer(rows: DataFrame, mode: str) -> DataFrameWriter:
+    return (
         rows.select(*RESULT_COLUMNS)
-        .write.mode("append")
+        .write.mode(mode)
         .options(
             **CSV_OPTIONS,
             emptyValue="",
@@ -25,5 +20,18 @@ def append_results(rows: DataFrame, path: str) -> None:
             ignoreTrailingWhiteSpace=False,
             lineSep="\r\n",
         )
-        .csv(path)
     )
+
+
+def append_results(rows: DataFrame, path: str) -> None:
+    """Append result rows; every part file has the header.
+
+    Quotes are doubled, empty values stay empty and blanks are kept, as a
+    standard CSV writer does.
+    """
+    _writer(rows, "append").csv(path)
+
+
+def replace_results(rows: DataFrame, path: str, batch: str) -> None:
+    """Write the rows of one batch to its own folder below ``path``, in place of what is there."""
+    _writer(rows, "overwrite").csv(f"{path.rstrip('/')}/batch={batch}")

@@ -6,17 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hailbook.schema import PAGES, RESPONSES
-from hailbook.session import spread_small
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
     """Fetched pages with the columns of ``schema.RESPONSES``."""
-    return spread_small(spark.read.schema(RESPONSES).parquet(path))
+    return spark.read.schema(RESPONSES).parquet(path)
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """A plain page table with the columns of ``schema.PAGES``."""
-    return spread_small(spark.read.schema(PAGES).parquet(path))
+    return spark.read.schema(PAGES).parquet(path)
 
 
 def responses_from_pages(pages: DataFrame) -> DataFrame:

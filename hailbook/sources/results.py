@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,17 +15,46 @@ from hailbook.schema import RESULTS
 CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
 
 
+def header_groups(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """Files of a folder by the column names in their first lines; repeated names get a number."""
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+        "value",
+    )
+    first = lines.filter("block = 0").groupBy("file").agg(F.min_by("value", "line").alias("head"))
+    out: dict[tuple[str, ...], list[str]] = {}
+    for row in first.orderBy("file").collect():
+        names = next(csv.reader([row["head"].removeprefix("\ufeff")]), [])
+        unique = tuple(n if n not in names[:i] else f"{n} {i}" for i, n in enumerate(names))
+        out.setdefault(unique, []).append(row["file"])
+    return out
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """Result rows of a CSV file or folder; a missing path gives no rows."""
+    """Result rows of a CSV file or folder; a missing path gives no rows.
+
+    Columns are taken by the names in the header of each file, in any order;
+    missing ones are empty, others are left out.
+    """
     try:
-        rows = (
-            spark.read.schema(RESULTS).options(**CSV_OPTIONS, enforceSchema=False).csv(path)
-        )
+        heads = header_groups(spark, path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], RESULTS)
-    return rows.fillna("")
+    parts = [
+        spark.read.schema(", ".join(f"`{name}` string" for name in names))
+        .options(**CSV_OPTIONS, enforceSchema=True)
+        .csv(paths)
+        for names, paths in heads.items()
+    ]
+    rows = [
+        part.select(*[F.col(c) if c in part.columns else F.lit("").alias(c) for c in RESULTS.names])
+        for part in parts
+    ]
+    return reduce(DataFrame.union, rows, spark.createDataFrame([], RESULTS)).fillna("")
 
 
 def load_existing_result_urls(spark: SparkSession, path: str) -> DataFrame:

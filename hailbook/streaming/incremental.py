@@ -8,10 +8,8 @@ from pyspark.sql.types import StructType
 
 from hailbook.functions.urls import normalize_domain
 from hailbook.operators.pages import with_contacts
+from hailbook.operators.skew import ROWS_PER_TASK, hot_keys, salted_join
 from hailbook.schema import PAGES
-from hailbook.session import fits_broadcast
-
-STATE_PARTS = 16
 
 
 def stream_pages(
@@ -22,26 +20,27 @@ def stream_pages(
 
 
 def unprocessed_pages(
-    pages: DataFrame, processed: DataFrame, parts: int = STATE_PARTS
+    pages: DataFrame, processed: DataFrame, hot: DataFrame | None = None
 ) -> DataFrame:
     """Pages whose domain is not in the static state; batch or stream.
 
-    A small state is broadcast by the optimizer and pages stay where they are.
-    For a large one every domain is split into ``parts`` by the hash of the
-    URL, so that one busy host does not end up in one task.
+    Busy hosts are split over several tasks by the hash of the URL. A batch
+    counts them itself; a stream takes ``hot`` from :func:`busy_domains` of what
+    came in before, and splits none without it.
     """
     keyed = pages.withColumn("domain", normalize_domain("url"))
-    if fits_broadcast(processed):
+    if hot is None and pages.isStreaming:
         left = keyed.join(processed, "domain", "left_anti")
     else:
-        part = F.pmod(F.xxhash64("url"), F.lit(parts)).cast("int")
-        every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-        left = keyed.withColumn("part", part).join(
-            processed.withColumn("part", every), ["domain", "part"], "left_anti"
-        )
+        left = salted_join(keyed, processed, "domain", "left_anti", spread=["url"], hot=hot)
     return left.select(*pages.columns)
 
 
+def busy_domains(pages: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Hot domains of a batch of pages, for the next run of a stream."""
+    return hot_keys(pages.select(normalize_domain("url").alias("domain")), "domain", rows_per_task)
+
+
 def page_contact_rows(pages: DataFrame) -> DataFrame:
     """Contacts of each page, without its html; batch or stream."""
     return with_contacts(pages).drop("hrefs")
@@ -62,3 +61,33 @@ def append_new(stream: DataFrame, target: str, checkpoint: str) -> None:
         .start()
     )
     query.awaitTermination()
+
+
+def append_new_with_state(
+    stream: DataFrame, target: str, state: str, checkpoint: str
+) -> None:
+    """Like :func:`append_new`, and add the domains of what was written to the state lines.
+
+    ``stream`` is a stream of page rows with their contacts. A batch that is
+    run again replaces its own two folders, so nothing is doubled: both have a
+    subfolder per batch.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        done = handled_domains(batch)
+        done.write.mode("overwrite").text(f"{state}/batch={number}")
+
+    query = (
+        stream.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+
+
+def handled_domains(batch: DataFrame) -> DataFrame:
+    """Distinct domains of a batch as lines."""
+    found = batch.select(normalize_domain("url").alias("value"))
+    return found.filter(F.col("value") != "").distinct()

@@ -2,6 +2,7 @@
 
 import html as stdlib
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,18 +68,18 @@ def test_pages_equal_the_model(evaluate, function, expected):
     assert list(zip(PAGES, found)) == list(zip(PAGES, wanted))
 
 
-def test_golden_page(evaluate):
+def test_whole_page(evaluate):
     page = (
-        "<html><head><title> Example  Company </title></head><body><p>Email: INFO@example.com</p>"
-        '<a href="mailto:sales@example.com">Sales</a><a href="https://t.me/example_channel">T</a>'
-        '<a href="tel:+79991234567">Call</a></body></html>'
+        "<title>\n Kiln &amp; Clay\tLtd </title><ul><li>Orders: Orders@Kiln.test;<li>"
+        '<a href="mailto:glaze@kiln.test">Glaze desk</a><li><a href="https://t.me/kiln_news">news</a>'
+        '<li><a href="tel:8 (921) 000-11-22">ring</a></ul>'
     )
     (row,) = evaluate(lambda: html.page_contacts("value"), [page])
     assert row.asDict() == {
-        "site_name": "Example Company",
-        "emails": ["info@example.com", "sales@example.com"],
-        "telegrams": ["@example_channel"],
-        "phones": ["+79991234567"],
+        "site_name": "Kiln & Clay Ltd",
+        "emails": ["orders@kiln.test", "glaze@kiln.test"],
+        "telegrams": ["@kiln_news"],
+        "phones": ["+79210001122"],
     }
 
 
@@ -92,12 +93,62 @@ def test_unclosed_code_and_comment_hide_the_rest(evaluate):
     assert found == ["a", "a", "a"]
 
 
-def test_long_junk_stays_linear(evaluate):
-    junk = ["a-" * 50_000, "8" + " " * 50_000, "<a " * 2_000, "." * 50_000 + "@", "<!--" * 9_000]
+def test_tail_without_a_closing_bracket_is_text(evaluate):
+    pages = ["x<b y", "x</b", "<p>a</p>b<a href='/x", "a<!-- b", "<b>1</b><!x <?y", "<title>T</title", "<script>s</script>t<u"]
+    found = evaluate(lambda: F.struct(html.page_text("value"), html.page_title("value")), pages)
+    assert [tuple(f) for f in found] == [
+        ("x<b y", ""), ("x</b", ""), ("a b<a href='/x", ""), ("a", ""), ("1 <!x <?y", ""),
+        ("T</title", "T"), ("t<u", ""),
+    ]
+
+
+@pytest.mark.parametrize("depth", range(1, 13))
+def test_templates_of_any_depth_equal_the_model(evaluate, depth):
+    nested = "<template>" * depth + "in" + "</template>" * (depth - 1)
+    pages = [f"a{nested}</template>b", f"a{nested}late</template>end", f"a{nested}open", f"</template>{nested}</template></template>z"]
+    assert evaluate(lambda: html.page_text("value"), pages) == [model.text(p) for p in pages]
+
+
+JUNK = ["<b ", "</x ", "<a ", "<!x ", "<?x ", "<![CDATA[", '<a b="', "<template>", "<title", "<!--", "a-", ". "]
+
+
+def test_junk_takes_time_in_proportion(evaluate):
+    def read():
+        found = html.page_text("value"), html.page_title("value"), html.page_links("value"), html.page_telegrams("value")
+        return F.array(*[F.length(F.concat_ws("", f)) for f in found])
+
+    def seconds(page):
+        start = time.perf_counter()
+        evaluate(read, [(page,)])
+        return time.perf_counter() - start
+
+    seconds("<p>warm</p>")
+    plan = seconds("<p>warm</p>")
+    for piece in JUNK:
+        one, two = (seconds(piece * (size // len(piece))) - plan for size in (1 << 20, 2 << 20))
+        assert one < 15, (piece, one)  # four functions; each alone takes less than five
+        assert two < 2.5 * max(one, 2), (piece, one, two)
+
+
+def test_long_junk_has_no_contacts(evaluate):
+    junk = ["a-" * 50_000, "8" + " " * 50_000, "<a " * 20_000, "." * 50_000 + "@", "<!--" * 90_000]
     assert evaluate(lambda: F.size(html.page_emails("value")), junk) == [0] * len(junk)
     assert evaluate(lambda: F.size(html.page_phones("value")), junk) == [0] * len(junk)
 
 
+def test_telegram_links_on_random_pages_equal_the_model(evaluate):
+    pieces = [
+        *("<a href='https://t.me/one_1'>", "<a href='@two'>", "<a href='/x'>", "</a>", "<b>", "</b>", " ", "tg", "tg: "),
+        *("@name1", "@name1tg @name2", "Telegram:", "https://t.me/inner_3", "text", "<template>", "</template>", "<i>"),
+    ]
+    pages = random_strings(pieces, 3000, 12)
+    found = evaluate(lambda: html.page_telegrams("value"), pages)
+    def hidden_link(page):  # a link inside a template is a link all the same, but what it says is not seen
+        return "<template>" in page
+    same = [(p, f) for p, f in zip(pages, found) if not hidden_link(p)]
+    assert same == [(p, model.telegrams(p)) for p, _ in same]
+
+
 def random_strings(pieces, count, longest):
     rng = random.Random(7)
     return ["".join(rng.choices(pieces, k=rng.randrange(longest))) for _ in range(count)]

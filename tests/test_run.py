@@ -168,15 +168,86 @@ def test_salted_join_equals_the_plain_one(spark, how):
     assert max(hot) == 25
 
 
-def test_large_state_uses_the_salted_join(spark, monkeypatch):
+def test_every_hot_key_is_split(spark):
+    left = spark.range(60_000).select("id", (F.col("id") % 3000).alias("key"))
+    hot = skew.hot_keys(left, "key", 9).collect()
+    assert len(hot) == 3000 and {r["parts"] for r in hot} == {3}
+    right = spark.range(1500).select(F.col("id").alias("key"))
+    kept = skew.salted_join(left, right, "key", "left_anti", ["id"], rows_per_task=9)
+    assert kept.count() == 30_000
+
+
+def test_hot_domains_of_the_skip_join(spark, monkeypatch):
     given = spark.range(200).select(
         F.col("id").alias("position"), F.concat(F.lit("https://h"), F.col("id") % 9, F.lit(".com/"), "id").alias("site")
     )
     done = spark.createDataFrame([("h1.com",), ("h4.com",)], "domain string")
-    small = sorted(map(tuple, sites.unprocessed_sites(given, done).collect()))
-    monkeypatch.setattr(sites, "fits_broadcast", lambda df: False)
-    assert sorted(map(tuple, sites.unprocessed_sites(given, done).collect())) == small
-    assert len(small) == 155
+    plain = sorted(map(tuple, sites.unprocessed_sites(given, done).collect()))
+    assert len(plain) == 155
+    monkeypatch.setattr(skew.salted_join, "__defaults__", (5, None))
+    assert sorted(map(tuple, sites.unprocessed_sites(given, done).collect())) == plain
+
+
+def test_missing_final_urls_and_duplicates(spark, responses):
+    rows = [
+        ("https://n.com", None, 200, HTML, "<title>N</title>n@n.com"),
+        ("https://n.com", "https://n.com/z", 200, HTML, "<title>Z</title>"),
+        ("https://n.com/contacts", None, 200, HTML, "c@n.com"),
+        (None, "https://n.com", 200, HTML, "never"),
+    ]
+    pages_ = responses.union(spark.createDataFrame(rows, RESPONSES))
+    accepted = pages.accepted_pages(pages_)
+    keys = {r["requested_url"]: r["final_url"] for r in pages.page_keys(accepted).collect()}
+    parsed = {r["requested_url"]: r["final_url"] for r in pages.parsed_pages(accepted).collect()}
+    assert keys == parsed and keys["https://n.com"] == "https://n.com" and None not in keys
+    lines = spark.createDataFrame([(0, "n.com")], "position int, value string")
+    run = plan_run(sites.clean_sites(lines), spark.createDataFrame([], "domain string"), pages_)
+    (row,) = run.report().collect()
+    assert (row["site_name"], row["emails"], row["url"]) == ("N", "n@n.com; c@n.com", "https://n.com")
+
+
+def test_result_files_are_read_by_column_name(spark, tmp_path):
+    folder = tmp_path / "results"
+    folder.mkdir()
+    (folder / "a.csv").write_text('url,site_name\nhttps://a.com,"A, B"\n')
+    (folder / "b.csv").write_text("phones,extra,url,url\n+7,x,https://b.com,no\n")
+    (folder / "c.csv").write_text("")
+    found = sorted(tuple(r) for r in read_results(spark, str(folder)).collect())
+    assert found == [("", "", "", "+7", "https://b.com"), ("A, B", "", "", "", "https://a.com")]
+    assert sorted(r[0] for r in load_existing_result_urls(spark, str(folder)).collect()) == ["https://a.com", "https://b.com"]
+
+
+def test_a_run_that_breaks_off_doubles_nothing(spark, site_file, responses, tmp_path, monkeypatch):
+    from hailbook.plans import run as plan
+
+    out = [str(tmp_path / name) for name in ("cleaned", "results", "processed")]
+
+    def fail(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(plan, "append_processed_domains", fail)
+        with pytest.raises(RuntimeError):
+            run_sites(spark, site_file, responses, *out)
+    assert read_results(spark, out[1]).count() == 3
+    run_sites(spark, site_file, responses, *out)
+    assert read_results(spark, out[1]).count() == 3
+
+
+def test_only_wanted_pages_are_parsed(spark, responses):
+    lines = spark.createDataFrame(list(enumerate(LINES)), "position int, value string")
+    plans = {}
+
+    def stage(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return df
+
+    plan_run(sites.clean_sites(lines), spark.createDataFrame([], "domain string"), responses, stage=stage)
+    assert "html" not in "".join(r for r in plans["status"].splitlines() if "LogicalRDD" not in r and "Filter" not in r)
+    rows = plans["pages"].splitlines()
+    parse = min(n for n, row in enumerate(rows) if "regexp_extract" in row)
+    join = min(n for n, row in enumerate(rows) if "LeftSemi" in row)
+    assert parse < join  # the functions stand above the join
 
 
 def test_report_shuffles_site_pages_once(spark, responses):
@@ -201,15 +272,24 @@ def test_stream_equals_batch_and_adds_nothing_twice(spark, tmp_path):
     assert found.count() == 6
 
 
-def test_stream_filter_with_a_large_state(spark, monkeypatch):
-    frame = spark.range(90).select(F.concat(F.lit("https://h"), F.col("id") % 3, F.lit(".com/"), "id").alias("url"))
+def test_stream_splits_hot_domains_and_keeps_a_state(spark, tmp_path):
+    rows = [(i, f"https://h{i % 3}.com/{i}", f"m{i}@h.com") for i in range(30)]
+    folder, target, state, check = (str(tmp_path / n) for n in ("in", "out", "state", "check"))
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
     done = spark.createDataFrame([("h1.com",)], "domain string")
-    monkeypatch.setattr(incremental, "fits_broadcast", lambda df: False)
-    left = incremental.unprocessed_pages(frame, done)
-    assert left.columns == ["url"] and left.count() == 60
+    hot = incremental.busy_domains(frame, 3)
+    assert hot.count() == 3
+    frame.write.parquet(folder)
+    stream = page_contact_rows(unprocessed_pages(stream_pages(spark, folder), done, hot))
+    incremental.append_new_with_state(stream, target, state, check)
+    assert spark.read.parquet(target).count() == 20
+    handled = load_processed_domains(spark, state)
+    assert sorted(r[0] for r in handled.collect()) == ["h0.com", "h2.com"]
+    assert unprocessed_pages(frame, handled).count() == 10
 
 
 def test_every_query_has_sql():
-    from __spark_entry__ import oracle_sql, queries
+    from hailbook.oracles import ORACLES
+    from hailbook.queries import QUERIES
 
-    assert list(queries()) and set(queries()) == set(oracle_sql())
+    assert list(QUERIES) and set(QUERIES) == set(ORACLES)
