@@ -8,7 +8,6 @@ one text longer than that is a block of its own, never cut.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,16 +46,17 @@ def blocks(texts: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, int, np.nd
         first = last
 
 
-@lru_cache(4)
-def _powers(base: int, size: int) -> np.ndarray:
-    out = np.full(size, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+_POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(count: int, base: int = BASE) -> np.ndarray:
-    """base**0, base**1, ... modulo 2**64, at least ``count`` of them."""
-    return _powers(base, max(BLOCK + 1024, 1 << max(0, count - 1).bit_length()))[:count]
+    """base**0 to base**(count - 1) modulo 2**64; the longest table asked for is kept."""
+    have = _POWERS.get(base)
+    if have is None or len(have) < count:
+        have = np.full(1 << max(16, (count - 1).bit_length()), base, np.uint64)
+        have[0] = 1
+        _POWERS[base] = have = np.cumprod(have, dtype=np.uint64)
+    return have[:count]
 
 
 def prefix_sums(values: np.ndarray) -> np.ndarray:
