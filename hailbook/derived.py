@@ -100,6 +100,16 @@ select o_orderkey as id,
 from {orders}
 """
 
+# Character references of every kind, one row per order: a number, a hex number,
+# a name, an unknown name, a reference to a reference, a bare ampersand.
+REFERENCES = """
+select o_orderkey as id,
+  concat('n&#', cast(65 + o_orderkey % 26 as string), '; h&#x', lower(hex(97 + o_custkey % 26)),
+    '; ', case o_orderkey % 4 when 0 then '&eacute;' when 1 then '&hellip;' when 2 then '&Omega;'
+      else '&laquo;' end, ' &none', cast(o_custkey % 10 as string), '; &amp;lt; R & D') as raw
+from {orders}
+"""
+
 # Two spellings per site; for odd ones these are two URLs of one domain.
 RAW_SITES = """
 select o_orderkey * 2 as position,
@@ -124,6 +134,7 @@ VIEWS = {
     "contact_pages": CONTACT_PAGES,
     "responses": RESPONSES,
     "messy": VALUES,
+    "references": REFERENCES,
     "raw_sites": RAW_SITES,
     "processed": PROCESSED,
 }

@@ -368,6 +368,10 @@ ORACLES: dict[str, str] = {
         "messy",
     ),
     "decode_entities": f"select page_id, {decode('html')} as decoded from pages",
+    "decode_references": """select o_orderkey as id,
+        concat('n', chr((65 + o_orderkey % 26)::int), ' h', chr((97 + o_custkey % 26)::int), ' ',
+        ['é', '…', 'Ω', '«'][o_orderkey % 4 + 1], ' &none', o_custkey % 10, ' &lt; R & D') as decoded
+        from orders""",
     "page_title": f"select page_id, {title_of('html')} as title from pages",
     "page_text": f"select page_id, {text_of('html')} as body from pages",
     "dedupe_emails": _with(

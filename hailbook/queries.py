@@ -114,6 +114,7 @@ _column(
     },
 )
 _column("decode_entities", "pages", ["page_id"], lambda: {"decoded": decode_text("html")})
+_column("decode_references", "references", ["id"], lambda: {"decoded": decode_text("raw")})
 _column("page_title", "pages", ["page_id"], lambda: {"title": html.page_title("html")})
 _column("page_text", "pages", ["page_id"], lambda: {"body": html.page_text("html")})
 
