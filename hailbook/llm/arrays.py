@@ -7,12 +7,14 @@ one text longer than that is a block of its own, never cut.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 #: An odd multiplier has an inverse modulo 2**64, so a prefix sum gives the hash of any span.
 BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(BASE, -1, 1 << 64)
@@ -53,7 +55,7 @@ def powers(count: int, base: int = BASE) -> np.ndarray:
     """base**0 to base**(count - 1) modulo 2**64; the longest table asked for is kept."""
     have = _POWERS.get(base)
     if have is None or len(have) < count:
-        have = np.full(1 << max(16, (count - 1).bit_length()), base, np.uint64)
+        have = np.full(((count >> 17) + 1) << 17, base, np.uint64)
         have[0] = 1
         _POWERS[base] = have = np.cumprod(have, dtype=np.uint64)
     return have[:count]
@@ -81,6 +83,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def release() -> None:
+    """Give back memory that a finished task no longer needs: later tasks run in the same worker."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def lower(data: np.ndarray) -> np.ndarray:
     """A-Z as a-z, all other bytes unchanged."""
     return _LOWER[data]

@@ -19,12 +19,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hailbook.llm.arrays import blocks
+from hailbook.llm.arrays import blocks, release
 from hailbook.llm.common import documents
 from hailbook.llm.perfect_hash import PerfectHash
 
 RANKS = "byte_bpe_50k.tiktoken"
-MEMO = 500_000  # pre-tokens a worker remembers; it forgets all of them beyond that
+MEMO = 300_000  # pre-tokens a worker remembers; it forgets all of them beyond that
 TEXT_BYTES = 1 << 20  # of texts that are encoded together
 
 
@@ -135,6 +135,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str = public_tok
                     [part.column(0), lists, pa.array(map(bpe.decode, ids), pa.binary())],
                     ["doc_id", "ids", "decoded"],
                 )
+        release()
 
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded binary")

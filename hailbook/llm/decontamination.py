@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hailbook.llm.arrays import BASE, blocks, lower, mix, span_hash, prefix_sums
+from hailbook.llm.arrays import BASE, blocks, lower, mix, prefix_sums, release, span_hash
 from hailbook.llm.common import documents, staged
 
 MASKS = ("1101010011", "11001000111", "1010011011", "1111001001")
@@ -167,6 +167,7 @@ def hit_segments(docs: DataFrame, passing: np.ndarray, short: list[int], key: st
                      pa.array(bodies, pa.list_(pa.int64())), pa.array(found, pa.list_(pair))],
                     ["row", "doc_id", "start", "tokens", "hits"],
                 )
+        release()
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from hailbook.llm.arrays import blocks
+from hailbook.llm.arrays import blocks, release
 from hailbook.llm.common import documents
 
 WINDOW = 256
@@ -185,6 +185,7 @@ def _identified(rows: DataFrame, net: Network | None) -> DataFrame:
                     ],
                     [*carried, "lang_pred", "score"],
                 )
+        release()
 
     return rows.mapInArrow(run, schema)
 

@@ -23,7 +23,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hailbook.llm.arrays import flat, inside_text, lower, mix, window_hashes, word_hashes, words
+from hailbook.llm.arrays import (
+    blocks, inside_text, lower, mix, release, window_hashes, word_hashes, words,
+)
 from hailbook.llm.common import documents, in_blocks, join_groups, staged
 from hailbook.llm.components import components
 from hailbook.llm.repeats import (
@@ -68,7 +70,13 @@ class Sets:
 
     def __init__(self, table: pa.Table, bits: int):
         self.keys = np.asarray(table["doc_id"].fill_null(NO_KEY)).astype(np.int64)
-        self.tokens, self.first = shingle_sets(*flat(table["text"]))
+        parts, firsts, done = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], 0
+        for _, _, data, offsets in blocks(table["text"]):
+            tokens, first = shingle_sets(data, offsets)
+            parts.append(tokens)
+            firsts.append(first[1:] + done)
+            done += len(tokens)
+        self.tokens, self.first = np.concatenate(parts), np.concatenate(firsts)
         short = self.tokens >> np.uint64(64 - bits)
         self.distinct, self.of, self.counts = np.unique(short, return_inverse=True, return_counts=True)
 
@@ -154,7 +162,9 @@ def described_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", per
         for b, r in ranges(sets):
             shared = flags_of(answers[b][0], r.stop - r.start)
             level[r][shared] = np.frombuffer(answers[b][1], np.uint8)
-        return described(sets, level[sets.of], percent)
+        out = described(sets, level[sets.of], percent)
+        release()
+        return out
 
     def described_none() -> pa.Table:
         none = pa.table({"doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.string())})

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hailbook.llm.arrays import blocks, word_hashes, words
+from hailbook.llm.arrays import blocks, release, word_hashes, words
 from hailbook.llm.common import documents, staged
 
 LABELLED = 6_000  # labelled rows used, at most: those with the least key hashes
@@ -97,6 +97,7 @@ def features(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:4], lists], ["doc_id", "source", "lang", "n_chars", "content"]
                 )
+        release()
 
     return rows.mapInArrow(run, f"doc_id {kind}, source string, lang string, n_chars double, content array<double>")
 

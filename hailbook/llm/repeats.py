@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hailbook.llm.arrays import anchored, flat, mix, prefix_sums, span_hash
+from hailbook.llm.arrays import anchored, blocks, flat, mix, prefix_sums, release, span_hash
 from hailbook.llm.common import in_blocks
 
 BLOCK = 2 << 20  # bytes of text in a block
@@ -130,8 +130,23 @@ class Block:
         self.rule = rule
         self.data, self.offsets = flat(table["text"])
         self.keys = np.asarray(table["doc_id"].fill_null(NO_KEY)).astype(np.int64)
-        self.units, self.first = rule.units(self.data, self.offsets)
-        self.found = anchored(self.units, self.first, rule.size, rule.gram)
+        parts = []
+        done, first, found = 0, [np.zeros(1, np.int64)], []
+        for _, _, data, offsets in blocks(table["text"]):  # little at a time: hashes take many times the text
+            units, begins = rule.units(data, offsets)
+            own = anchored(units, begins, rule.size, rule.gram)
+            for place in ("at", "low", "high"):
+                own[place] = own[place] + done
+            own["text"] = own["text"] + sum(map(len, first)) - 1
+            parts.append(units)
+            first.append(begins[1:] + done)
+            found.append(own)
+            done += len(units)
+        none = anchored(np.zeros(0, np.uint8), np.zeros(1, np.int64), rule.size, rule.gram)
+        found = found or [none]
+        self.units = np.concatenate(parts) if parts else rule.units(self.data, self.offsets)[0]
+        self.first = np.concatenate(first)
+        self.found = {c: np.concatenate([f[c] for f in found]) for c in none}
         self.doc = self.keys[self.found["text"]]
         self.short = self.found["key"] >> np.uint64(64 - rule.bits)
         self.order = np.lexsort((self.doc, self.short))
@@ -445,7 +460,13 @@ def repeats(docs: DataFrame, rule: Rule, finish: Callable[[Block, np.ndarray], p
         return finish(block, block.covered(received(told, DEEP)))
 
     def with_texts(told: DataFrame, step: Callable, out: str) -> DataFrame:
-        return texts.cogroup(told.groupBy("block")).applyInArrow(step, out)
+        def run(table: pa.Table, heard: pa.Table) -> pa.Table:
+            try:
+                return step(table, heard)
+            finally:
+                release()
+
+        return texts.cogroup(told.groupBy("block")).applyInArrow(run, out)
 
     def by_bucket(asked: DataFrame, answer: Callable) -> DataFrame:
         return asked.groupBy("bucket").applyInArrow(lambda t: messages([*answer(t), *echo(t)]), MESSAGE)
