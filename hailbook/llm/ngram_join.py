@@ -17,6 +17,7 @@ within what is linked already change no component.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
@@ -355,3 +356,30 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(documents(spark, sf_dir))
+
+
+SQL = rf"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'),
+    '[^\x20\x09-\x0D]+') as ws from documents),
+u as (select doc_id, unnest(ws) as w, generate_subscripts(ws, 1) as i from d),
+grams as (
+  select doc_id, {" || ' ' || ".join(f"lead(w, {n}) over own" for n in range(WORDS))} as k
+  from u window own as (partition by doc_id order by i)),
+sets as (
+  select distinct doc_id, k from grams where k is not null
+  union all select doc_id, array_to_string(ws, ' ') from d where len(ws) between 1 and {WORDS - 1}),
+sizes as (select doc_id, count(*) as n from sets group by doc_id),
+pairs as (
+  select a.doc_id as x, b.doc_id as y, count(*) as shared from sets a join sets b using (k)
+  where a.doc_id < b.doc_id group by 1, 2),
+links as (
+  select x, y from pairs join sizes a on x = a.doc_id join sizes b on y = b.doc_id
+  where 100 * shared >= {PERCENT} * (a.n + b.n - shared)),
+edges as (select x, y from links union select y, x from links),
+reach(doc_id, other) as (
+  select doc_id, doc_id from documents
+  union select r.doc_id, y from reach r join edges on other = x)
+select r.doc_id, coalesce(any_value(n), 0)::bigint as n_shingles, min(other) as component_id
+from reach r left join sizes s on r.doc_id = s.doc_id group by r.doc_id
+"""

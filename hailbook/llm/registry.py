@@ -26,7 +26,10 @@ QUERIES = {
     "op10_suffix_dedup": suffix_dedup.query,
 }
 ORACLES = {
+    "op3_substring_dedup": substring_dedup.SQL,
+    "op4_ngram_join": ngram_join.SQL,
     "op5_token_counts": token_counts.SQL,
     "op8_licence_scan": licence_scan.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
+    "op10_suffix_dedup": suffix_dedup.SQL,
 }

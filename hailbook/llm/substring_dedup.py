@@ -85,3 +85,20 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
     )
+
+
+SQL = rf"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+u as (select doc_id, unnest(ws) as w, generate_subscripts(ws, 1) as i from d),
+win as (
+  select doc_id, i, w, case when count(*) over ahead = {WINDOW} then string_agg(w, ' ') over ahead end as k
+  from u window ahead as (partition by doc_id order by i rows between current row and {WINDOW - 1} following)),
+least as (select k, min(doc_id) as first_doc from win where k is not null group by k),
+cov as (
+  select doc_id, i, w, coalesce(max(case when first_doc < doc_id then i end)
+    over (partition by doc_id order by i) > i - {WINDOW}, false) as gone
+  from win left join least using (k))
+select d.doc_id, any_value(len(ws))::bigint as n_words, count_if(gone)::bigint as n_removed,
+  sha256(coalesce(string_agg(w, ' ' order by i) filter (where not gone), '')) as kept_sha256
+from d left join cov on d.doc_id = cov.doc_id group by d.doc_id
+"""

@@ -128,3 +128,31 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(documents(spark, sf_dir)).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+SQL = f"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+u as (
+  select doc_id, unnest(bs) as s1, generate_subscripts(bs, 1) as i from (
+    select doc_id, regexp_extract_all(h, '..') as bs from d) l),
+{", ".join(f"u{2 * n} as (select *, s{n} || lead(s{n}, {n}) over (partition by doc_id order by i) as s{2 * n} from u{n if n > 1 else ''})" for n in (1, 2, 4, 8, 16))},
+win as (
+  select doc_id, i, s32 || lead(s16, 32) over own || lead(s2, 48) over own as k
+  from u32 window own as (partition by doc_id order by i)),
+least as (select k, min(doc_id) as first_doc from win where k is not null group by k having min(doc_id) < max(doc_id)),
+cov as (
+  select doc_id, i, coalesce(max(case when first_doc < doc_id then i end)
+    over (partition by doc_id order by i) > i - {WINDOW}, false) as gone
+  from win left join least using (k)),
+edges as (
+  select doc_id, i, gone from (
+    select *, lag(gone) over (partition by doc_id order by i) as before from cov) c
+  where before is null or before <> gone),
+runs as (
+  select e.doc_id, i, gone, coalesce(lead(i) over (partition by e.doc_id order by i), len(h) // 2 + 1) as stop, h
+  from edges e join d on e.doc_id = d.doc_id)
+select d.doc_id, any_value(len(d.h) // 2)::bigint as n_bytes,
+  coalesce(sum(stop - i) filter (where gone), 0)::bigint as n_removed, count_if(gone)::bigint as n_spans,
+  sha256(unhex(coalesce(string_agg(substr(runs.h, 2 * i - 1, 2 * (stop - i)), '' order by i) filter (where not gone), ''))) as kept_sha256
+from d left join runs on d.doc_id = runs.doc_id group by d.doc_id
+"""
