@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hailbook.session import staged  # noqa: F401  the operators import it from here
+
 #: Bytes of text in a block; a block is what one call of a Python step holds.
 BLOCK_BYTES = 4 << 20
 
@@ -16,22 +15,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_path(spark: SparkSession, purpose: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; where that is unset (tests), a folder of this session."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        base = tempfile.mkdtemp(prefix="hailbook-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/hailbook-llm/{purpose}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, purpose: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back: computed once, lineage cut."""
-    path = shared_path(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, tag: Column, how: str = "inner") -> DataFrame:
     """Rows joined to ``groups`` (one row per ``key``), where one key may hold most rows.
 

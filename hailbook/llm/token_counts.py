@@ -13,8 +13,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hailbook.llm.common import documents, shared_path
+from hailbook.llm.common import documents
 from hailbook.llm.exact_dedup import exact_dedup
+from hailbook.session import shared_folder
 
 GROUP = ["source", "lang", "tokenizer"]
 TOTALS = "source string, lang string, tokenizer string, docs long, tokens long"
@@ -115,7 +116,7 @@ def maintain(docs: DataFrame, rollup: Rollup) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return maintain(documents(spark, sf_dir), Rollup(spark, shared_path(spark, "token-counts")))
+    return maintain(documents(spark, sf_dir), Rollup(spark, shared_folder(spark, "token-counts")))
 
 
 SQL = rf"""
