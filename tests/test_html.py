@@ -123,11 +123,9 @@ def test_junk_takes_time_in_proportion(evaluate):
         return time.perf_counter() - start
 
     seconds("<p>warm</p>")
-    plan = seconds("<p>warm</p>")
     for piece in JUNK:
-        one, four = (seconds(piece * ((mb << 20) // len(piece))) - plan for mb in (1, 4))
-        assert one < 15, (piece, one)  # four functions; each alone takes less than five
-        assert four < 8 * max(one, 1), (piece, one, four)  # sixteen times as long if it were quadratic
+        # some seconds for the four functions; where time grew with the square, 90 KB took over a minute
+        assert seconds(piece * ((2 << 20) // len(piece))) < 40, piece
 
 
 def test_long_junk_has_no_contacts(evaluate):
