@@ -149,6 +149,12 @@ def labelled_sample(docs: DataFrame, key: str, text: str, lang: str, slots: int
     """
     pick = F.xxhash64(F.col(key), F.lit("sample"))
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~F.coalesce(held_out(F.col(key)), F.lit(False)))
+    # of a frequent language only as many rows go on as fill the slots some 50 times over
+    counts = rows.groupBy(F.col(lang).alias("lang")).count().filter(F.col("count") > 50 * slots).collect()
+    if counts:
+        share = F.create_map(*[F.lit(v) for row in counts for v in (row["lang"], 50 * slots / row["count"])])
+        draw = F.pmod(F.xxhash64(F.col(key), F.lit("draw")), F.lit(1 << 30)) / (1 << 30)
+        rows = rows.filter(draw < F.coalesce(F.element_at(share, F.col(lang)), F.lit(1.0)))
     start = F.pmod(pick, F.greatest(F.length(text) - PIECE, F.lit(0)) + 1).cast("int") + 1
     chosen = rows.select(
         F.col(lang).alias("lang"), pick.alias("pick"), F.pmod(pick, F.lit(slots)).alias("slot"),
