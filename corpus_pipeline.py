@@ -50,15 +50,26 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least key of each component of near-duplicates."""
-    found = ngram_join(docs)
-    return _only(docs, found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
+    """Keeps one row of each component of near-duplicates: of the least key (null last), then of the least text hash.
+
+    Rows are judged apart, whatever key they have: each gets a number, which is staged.
+    """
+    docs = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = ngram_join(docs, key="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("hash"), "_row")
+    ranked = docs.select("_row", order.alias("rank")).join(found, "_row")
+    ranked = staged(ranked, "ranked")
+    stay = ranked.groupBy("component_id").agg(F.min("rank").alias("rank")).select("rank._row")
+    gone = staged(ranked.select("_row").join(stay, "_row", "left_anti"), "near-copies")
+    return docs.join(gone, "_row", "left_anti").drop("_row")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that hold no benchmark item."""
-    found = leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _only(docs, found.select("doc_id").distinct(), "left_anti")
+    """Keeps rows whose text holds no benchmark item. Only the text counts, so texts are told apart by digest, not by key."""
+    rows = docs.withColumn("_digest", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    found = leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="_digest")
+    found = staged(found.select(F.col("doc_id").alias("_digest")).distinct(), "leaking")
+    return rows.join(found, "_digest", "left_anti").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -87,3 +87,24 @@ def test_exact_stage_judges_rows_of_one_key_apart(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted(map(str, (tuple(r) for r in P.exact(spark, docs, "").collect())))
     assert got == sorted(map(str, [(5, "only here"), (9, "shared"), (None, "alone")]))
+
+
+def test_near_stage_judges_rows_of_one_key_apart(spark):
+    r = random.Random(4)
+    a, b, c, d, e = (" ".join(f"w{r.randint(0, 10**6)}" for _ in range(60)) for _ in range(5))
+    rows = [(1, a), (None, a + " end"), (None, b), (None, c), (None, c + " end"),  # a null-key row near a keyed one
+            (5, d), (5, e), (3, e + " end"), (7, ""), (None, "")]  # a row of a repeated key near another key
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(str, (tuple(x) for x in P.near(spark, docs, "").collect())))
+    assert len([x for x in got if c in x]) == 1  # near copies among null-key rows: one stays
+    assert [x for x in got if c not in x] == sorted(map(str, [(1, a), (None, b), (5, d), (3, e + " end"), (7, ""), (None, "")]))
+
+
+def test_decontamination_judges_rows_of_one_key_apart(spark, tmp_path):
+    item = " ".join(f"question{n}" for n in range(20))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, "before " + item), (None, "clean one"), (None, None), (5, item + " after"), (5, "clean two"), (6, "clean")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = P.decontaminate(spark, docs, str(tmp_path))
+    assert got.columns == ["doc_id", "text"]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(None, "clean one"), (None, None), (5, "clean two"), (6, "clean")]))
