@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from hailbook.llm import common
 from hailbook.llm import repeats as R
+from hailbook.llm.common import in_blocks
 from hailbook.llm.substring_dedup import substring_dedup, tree_order
 from hailbook.llm.suffix_dedup import Suffixes, suffix_dedup
 from tests.llm import brute
@@ -101,3 +103,33 @@ def test_blocks_reuse_one_exchange_of_the_texts(spark):
     out.collect()
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ReusedExchange") >= 3
+
+
+def test_rows_of_one_key_spread_over_blocks(spark):
+    rows = [(None, f"text {n} " + "x" * 90) for n in range(400)] + [(7, f"text {n} " + "y" * 90) for n in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for part in (docs.filter("doc_id is null"), docs.filter("doc_id = 7"), docs):
+        blocked, total = in_blocks(part, "doc_id", "text", 2000)
+        sizes = [r["count"] for r in blocked.groupBy("block").count().collect()]
+        assert total == part.agg(F.sum(F.octet_length("text"))).first()[0]
+        assert len(sizes) >= 15 and max(sizes) <= 60 and sum(sizes) == part.count()
+
+
+def test_equal_rows_spread_over_blocks_too(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, text)] * 300 + [(None, None)] * 300 + [(3, text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sizes = [r["count"] for r in in_blocks(docs, "doc_id", "text", 2000)[0].groupBy("block").count().collect()]
+    assert max(sizes) <= 60 and sum(sizes) == len(rows)
+
+
+@pytest.mark.parametrize("own", [True, False])
+def test_results_with_many_rows_of_one_key(spark, monkeypatch, own):
+    monkeypatch.setattr(common, "ROW_BYTES", 64 if own else 1 << 22)  # False: equal rows are numbered
+    docs = [(None if n % 3 == 0 else k, t) for n, (k, t) in enumerate(corpus(7))] + [(900, "the a bb é ccc " * 9)] * 4
+    got = substring_dedup(frame(spark, docs)).select("doc_id", "n_words", "n_removed", "kept").collect()
+    want = brute.substring([(10**9 if k is None else k, t) for k, t in docs])
+    assert sorted((10**9 if r[0] is None else r[0], *r[1:]) for r in got) == want
+    got = suffix_dedup(frame(spark, docs)).collect()
+    want = brute.suffix([(10**9 if k is None else k, t) for k, t in docs])
+    assert sorted((10**9 if r[0] is None else r[0], r[1], r[2], r[3], bytes(r[4])) for r in got) == want
