@@ -8,6 +8,9 @@ sequences are laid over one another and compared token by token.
 Training seeds pass a Bloom filter of the test seeds first. It has a fixed size
 (``FILTER_BITS``); a fuller one lets more seeds through to the exact join and
 changes nothing else.
+
+Four masks are long and rare in other texts; ``COVER`` and ``SHORT`` complete
+them, so that no pattern of substitutions that counts is missed.
 """
 
 from __future__ import annotations
@@ -26,22 +29,59 @@ MASKS = ("1101010011", "11001000111", "1010011011", "1111001001")
 FILTER_BITS = 23
 PROBES = 3
 AROUND = 64  # tokens kept on each side of a hit
-LEAST_TOKENS = 6  # items with fewer tokens are told from nothing
+LEAST_TOKENS = 4  # items with fewer tokens leak only as the whole text
+#: With one of these, every item of ten tokens or more hits whichever fifth of its tokens is replaced or cut off.
+COVER = ("111111", "11110011", "11001111", "1111000011", "1100110011", "1100001111", "111110000011111")
+#: The same for shorter items, by length.
+SHORT = {
+    5: ("1111", "11011", "10111", "11101"), 6: ("1111", "11011"), 7: ("1111", "11011"),
+    8: ("11111", "11100111"), 9: ("111111", "111000111"),
+}
 LONG, MISMATCH, SCORE, SHARE = 13, 4, 8, 0.8
 _TOKEN = np.zeros(256, bool)
 _TOKEN[[*range(ord("0"), ord("9") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = True
+ALONE, APART = 1, 2  # a character that is a token; one that is in none
+_KIND = np.zeros(1 << 16, np.uint8)
+for _a, _b in ((0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x2FDF), (0x3040, 0x312F),
+               (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F)):
+    _KIND[_a : _b + 1] = ALONE  # Thai, Lao, Tibetan, Burmese, Khmer, Han, Kana, Bopomofo
+for _a, _b in ((0x3000, 0x303F), (0x30FB, 0x30FB), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65)):
+    _KIND[_a : _b + 1] = APART
+_KIND[0x3005:0x3008] = ALONE
+
+
+def unspaced(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, end and kind of the characters of scripts without spaces and of their punctuation."""
+    lead = np.flatnonzero(data >= 0xE0)
+    wide = data[lead] >= 0xF0
+    a, b = (data[np.minimum(lead + n, len(data) - 1)].astype(np.int64) & 0x3F for n in (1, 2))
+    first = data[lead].astype(np.int64)
+    kind = np.where(wide, np.where((first == 0xF0) & (a >= 0x20), ALONE, 0), _KIND[(first & 0xF) << 12 | a << 6 | b])
+    some = kind > 0
+    return lead[some], (lead + np.where(wide, 4, 3))[some], kind[some]
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the tokens (runs of ASCII letters in lower case, digits and bytes of other characters), texts' first tokens."""
+    """Hashes of the tokens, texts' first tokens.
+
+    Tokens are runs of ASCII letters in lower case, digits and bytes of other
+    characters; in scripts without spaces each character is one.
+    """
     data = lower(data)
     inside = _TOKEN[data]
+    lead, after, kind = unspaced(data)
+    for n in range(3):
+        inside[lead[kind == APART] + n] = False
     begins, finish = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
     finish[:-1] &= ~inside[1:]
     edges = offsets[1:-1]
     begins[edges[edges < len(data)]] = inside[edges[edges < len(data)]]
     finish[edges[edges > 0] - 1] = inside[edges[edges > 0] - 1]
+    lead, after = lead[kind == ALONE], after[kind == ALONE]
+    next_, last = after[after < len(data)], lead[lead > 0] - 1
+    begins[lead], finish[after - 1] = True, True
+    begins[next_], finish[last] = inside[next_], inside[last]
     starts = np.flatnonzero(begins)
     return span_hash(prefix_sums(data), starts, np.flatnonzero(finish) + 1), np.searchsorted(starts, offsets)
 
@@ -64,10 +104,10 @@ def hash_of(mask: str) -> np.uint64:
 
 
 def masks_for(length: int) -> tuple[str, ...]:
-    """An item too short for a mask is looked up as a whole."""
-    if length < LEAST_TOKENS:
-        return ()
-    return MASKS if length >= max(map(len, MASKS)) else ("1" * length,)
+    """Masks one of which hits every overlap ``SHARE`` allows; items of up to ``LEAST_TOKENS`` are looked up as a whole."""
+    if length <= LEAST_TOKENS:
+        return ("1" * length,) if length else ()
+    return SHORT.get(length) or tuple(m for m in MASKS + COVER if len(m) <= length)
 
 
 def item_tables(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
@@ -118,13 +158,12 @@ def seed_filter(test: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
 
 
-def hit_segments(docs: DataFrame, passing: np.ndarray, short: list[int], key: str = "doc_id", text: str = "text") -> DataFrame:
+def hit_segments(docs: DataFrame, passing: np.ndarray, masks: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
     """(row, doc_id, start, tokens, hits): stretches of whole texts around seeds that pass the filter."""
     kind = docs.schema[key].dataType.simpleString()
     packed = np.packbits(passing)
-    masks = [*MASKS, *("1" * n for n in short)]
     bits = len(passing).bit_length() - 1
-    reach = max(map(len, masks))
+    reach = max(map(len, masks), default=0)
     pair = pa.struct([("hash", pa.int64()), ("place", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +171,7 @@ def hit_segments(docs: DataFrame, passing: np.ndarray, short: list[int], key: st
         for batch in batches:
             for first, last, data, offsets in blocks(batch.column(2)):
                 units, begin = tokens(data, offsets)
-                at, hashes = [], []
+                at, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
                 for mask in masks:
                     h = seeds(units, mask)
                     ok = np.arange(len(h))
@@ -140,6 +179,9 @@ def hit_segments(docs: DataFrame, passing: np.ndarray, short: list[int], key: st
                         ok = ok[filled[probe[ok]]]
                     text_of = np.searchsorted(begin, ok, "right") - 1
                     ok = ok[ok + len(mask) <= begin[text_of + 1]]
+                    if len(mask) < LEAST_TOKENS:  # a whole text or nothing
+                        text_of = np.searchsorted(begin, ok, "right") - 1
+                        ok = ok[begin[text_of + 1] - begin[text_of] == len(mask)]
                     at.append(ok)
                     hashes.append(h[ok])
                 place, h = np.concatenate(at), np.concatenate(hashes)
@@ -187,12 +229,14 @@ def overlap(text: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, i
     matches = int(same.sum())
     if matches >= SHARE * len(item):
         return matches, len(item), low, matches
+    if len(same) < LONG:
+        return None
     total = np.concatenate([[0], np.cumsum(np.where(same, 1, -MISMATCH))])
-    least = np.minimum.accumulate(total)
-    end = int((total - least).argmax())
-    begin = int(total[: end + 1].argmin())
+    gain = total[LONG:] - np.minimum.accumulate(total)[: len(total) - LONG]  # of stretches of LONG tokens or more
+    end = int(gain.argmax()) + LONG
+    begin = int(total[: end - LONG + 1].argmin())
     score = int(total[end] - total[begin])
-    if end - begin < LONG or score < SCORE:
+    if score < SCORE:
         return None
     return int(same[begin:end].sum()), end - begin, low + begin, score
 
@@ -226,20 +270,18 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     """One row per input row and test item it holds: doc_id, item_id, n_matched, n_aligned, token_at.
 
     Of several overlaps the one of best score, then the first. Null and empty
-    texts and items, and items of fewer than ``LEAST_TOKENS`` tokens, leak
-    nothing. Items of one key with the same text are one item; rows that repeat
+    texts and items leak nothing; an item of fewer than ``LEAST_TOKENS`` tokens
+    leaks only if it is the whole text. Items of one key with the same text are one item; rows that repeat
     a document key are looked at each.
     """
     known = staged(item_tables(items, item_key, item_text).dropDuplicates(["item_id", "tokens"]), "items")
     test = known.select("item_id", F.col("tokens").alias("item_tokens"), F.explode("seeds").alias("seed")).select(
         "item_id", "item_tokens", F.col("seed.hash").alias("hash"), F.col("seed.place").alias("item_place")
     )
-    longest = max(map(len, MASKS))
-    short = [
-        row["n"]
-        for row in known.select(F.size("tokens").alias("n")).filter(f"n >= {LEAST_TOKENS} and n < {longest}").distinct().orderBy("n").collect()
-    ]
-    segments = staged(hit_segments(docs, seed_filter(test), short, key, text), "hits")
+    longest = max(map(len, MASKS + COVER))
+    lengths = known.select(F.least(F.size("tokens"), F.lit(longest)).alias("n")).distinct().collect()
+    masks = sorted({mask for row in lengths for mask in masks_for(row["n"])})
+    segments = staged(hit_segments(docs, seed_filter(test), masks, key, text), "hits")
     hits = segments.select("row", "start", F.explode("hits").alias("hit")).select(
         "row", "start", F.col("hit.hash").alias("hash"), F.col("hit.place").alias("place")
     )

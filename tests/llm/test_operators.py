@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -70,6 +72,40 @@ def test_leaks_survive_substitutions_and_spare_clean_texts(spark):
     assert len(found) == len(set(found)) + 1  # the repeated row
 
 
+def test_every_pattern_that_counts_has_a_seed():
+    for n in range(D.LEAST_TOKENS, 21):
+        placed = [np.array(D.places(m)) + at for m in D.masks_for(n) for at in range(n - len(m) + 1)]
+        for gone in combinations(range(n), n - math.ceil(D.SHARE * n)):
+            assert any(not np.isin(p, gone).any() for p in placed), (n, gone)
+
+
+def test_leaks_of_short_items_equal_brute_force(spark):
+    r = random.Random(11)
+    items = [(n, " ".join(f"q{n}x{j}" for j in range(n))) for n in range(1, 21)]
+    docs = [(n, t) for n, t in items] + [(100 + n, "before " + t + " after") for n, t in items]
+    for k in range(400):
+        n, text = items[r.randrange(20)]
+        piece = text.split()
+        for _ in range(r.randint(0, n // 5 + 1)):
+            piece[r.randrange(n)] = "zzz"
+        cut = r.choice([0, 0, 1])
+        docs.append((1000 + k, " ".join(["x"] * (r.randint(0, 3) * (1 - cut)) + piece[cut:] + ["y"] * r.randint(0, 3))))
+    found = D.leaks(spark.createDataFrame(docs, TEXTS), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(row.doc_id, row.item_id) for row in found.collect()}
+    whole = {(k, i) for k, t in docs for i, item in items[: D.LEAST_TOKENS - 1] if t == item}
+    assert got == leaks_brute(docs, items) | whole and len(whole) >= 3
+
+
+def test_leaks_in_scripts_without_spaces(spark):
+    items = [(1, "水の沸点は何度ですか。"), (2, "ประเทศไทยมีกี่จังหวัด"), (3, "𠀀𠀁𠀂𠀃𠀄")]
+    docs = [(1, "前文、水の沸点は何度ですか?後文"), (2, "ก่อนประเทศไทยมีกี่จังหวัดหลัง"), (3, "水の沸騰は何度ですか"),
+            (4, "天気は良い。何度も"), (5, "abc𠀀𠀁𠀂𠀃𠀄def"), (6, None), (7, "水")]
+    got = D.leaks(spark.createDataFrame(docs, TEXTS), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((x.doc_id, x.item_id) for x in got) == [(1, 1), (2, 2), (3, 1), (5, 3)]
+    data = np.frombuffer("Ab水c。é 中".encode(), np.uint8)
+    assert len(D.tokens(data, np.array([0, len(data)]))[0]) == 5
+
+
 def test_leaks_of_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, "a b c d e f g")], TEXTS), spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
     assert D.leaks(docs.limit(0), items).collect() == []
