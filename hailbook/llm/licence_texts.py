@@ -1,5 +1,7 @@
 """Known licence texts. The wording of public licences and of their usual notices."""
 
+from pathlib import Path
+
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
@@ -13,6 +15,15 @@ Permission is granted to anyone to use this software for any purpose, including
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution."""
 
+#: Whole texts, a file each, named after the licence.
+FILES = tuple((f.name, f.read_text("utf-8")) for f in sorted((Path(__file__).parent / "licences").iterdir()))
+END = "END OF TERMS AND CONDITIONS"  # what comes after it tells how to apply the licence
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"),
+}
+
 #: (licence, text): whole texts and whole notice lines.
 TEXTS = (
     ("MIT", MIT),
@@ -28,6 +39,10 @@ TEXTS = (
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "Released under CC0 1.0."),
+    *((name, f"{title}\n{text}") for name, text in (("MIT", MIT), ("ISC", ISC), ("Zlib", ZLIB)) for title in TITLES[name]),
+    *FILES,
+    *((name, text[: text.index(END) + len(END)]) for name, text in FILES if END in text),
+    *((name, text[: text.index(END)]) for name, text in FILES if END in text),
 )
 
 #: (spelling, what it counts as), after case and punctuation are gone.

@@ -289,6 +289,18 @@ def test_licences(spark):
     assert S.licence_scan(frame.limit(0), S.catalogue(spark)).collect() == []
 
 
+def test_licence_files(spark):
+    line = "\n\nCopyright (c) 2020 Someone\n\n"
+    docs = [("MIT", "MIT License" + line + licence_texts.MIT), ("MIT", "The MIT License (MIT)" + line + licence_texts.MIT),
+            ("ISC", "ISC License" + line + licence_texts.ISC), ("Zlib", "zlib License" + line + licence_texts.ZLIB)]
+    docs += [(name, "\n\n" + text.replace("\n", "\r\n")) for name, text in licence_texts.FILES]
+    docs += [(name, text[: text.index(licence_texts.END)]) for name, text in licence_texts.FILES if licence_texts.END in text]
+    assert {name for name, _ in docs} >= {"Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"}
+    frame = spark.createDataFrame([(n, t) for n, (_, t) in enumerate(docs)] + [(99, "MIT License"), (98, docs[-1][1] + " more")], TEXTS)
+    got = {r.doc_id: r.text_license for r in S.licence_scan(frame, S.catalogue(spark)).collect()}
+    assert got == dict(enumerate(name for name, _ in docs)) | {99: None, 98: None}
+
+
 def test_rollup_batches_count_once(spark, tmp_path):
     columns = "source string, lang string, tokenizer string, event string, tokens long, old_tokens long"
     rollup = Rollup(spark, str(tmp_path / "rollup"))
