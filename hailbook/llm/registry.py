@@ -6,6 +6,7 @@ from hailbook.llm import (
     exact_dedup,
     language_id,
     licence_scan,
+    line_dedup,
     ngram_join,
     quality,
     substring_dedup,
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_licence_scan": licence_scan.query,
     "op9_exact_dedup": exact_dedup.query,
     "op10_suffix_dedup": suffix_dedup.query,
+    "op13_line_dedup": line_dedup.query,
 }
 ORACLES = {
     "op3_substring_dedup": substring_dedup.SQL,
@@ -32,4 +34,5 @@ ORACLES = {
     "op8_licence_scan": licence_scan.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
     "op10_suffix_dedup": suffix_dedup.SQL,
+    "op13_line_dedup": line_dedup.SQL,
 }
