@@ -4,6 +4,7 @@ from hailbook.llm import (
     byte_bpe,
     decontamination,
     exact_dedup,
+    hard_negatives,
     language_id,
     licence_scan,
     line_dedup,
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_licence_scan": licence_scan.query,
     "op9_exact_dedup": exact_dedup.query,
     "op10_suffix_dedup": suffix_dedup.query,
+    "op11_hard_negatives": hard_negatives.query,
     "op13_line_dedup": line_dedup.query,
 }
 ORACLES = {
@@ -34,5 +36,6 @@ ORACLES = {
     "op8_licence_scan": licence_scan.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
     "op10_suffix_dedup": suffix_dedup.SQL,
+    "op11_hard_negatives": hard_negatives.SQL,
     "op13_line_dedup": line_dedup.SQL,
 }
