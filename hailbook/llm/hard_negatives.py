@@ -31,6 +31,7 @@ LARGEST = 1 << 27  # integers stay below, so that scores fit 64 bits
 ANCHOR_BLOCK, BLOCK = 4096, 8192  # rows of a side of a task
 LEAST = 16  # blocks of rows, at least
 AT_ONCE = 128  # anchors whose tables are held at once
+MOST_TASKS = 20_000  # of one step; more blocks share tasks
 BODY = "vec_id long, label long, planes int, bits binary"
 
 
@@ -205,7 +206,8 @@ def in_tasks(anchors: DataFrame, rows: DataFrame, anchor_blocks: int, row_blocks
     every = F.explode(F.sequence(F.lit(0), F.lit(anchor_blocks - 1)))
     none = F.lit(None).cast(anchors.schema["wanted"].dataType).alias("wanted")
     right = rows.select(every.alias("i"), _blocks(F.col("vec_id"), row_blocks).alias("j"), F.lit(1).alias("side"), *body, none)
-    return left.union(right).groupBy("i", "j").applyInArrow(step, schema)
+    tasks = min(anchor_blocks * row_blocks, MOST_TASKS)  # named, or they would be merged by their few bytes
+    return left.union(right).repartition(tasks, "i", "j").groupBy("i", "j").applyInArrow(step, schema)
 
 
 def hard_negatives(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label",

@@ -10,6 +10,7 @@ from hailbook.llm import (
     line_dedup,
     ngram_join,
     quality,
+    spelling_variants,
     substring_dedup,
     suffix_dedup,
     token_counts,
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_exact_dedup": exact_dedup.query,
     "op10_suffix_dedup": suffix_dedup.query,
     "op11_hard_negatives": hard_negatives.query,
+    "op12_spelling_variants": spelling_variants.query,
     "op13_line_dedup": line_dedup.query,
 }
 ORACLES = {
