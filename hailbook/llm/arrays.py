@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -111,8 +113,55 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, np.flatnonzero(finish) + 1, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hash(prefix_sums(data), starts, ends)
+_PRIME = np.uint64((1 << 61) - 1)
+_PIECE = 7  # bytes of a word that are one coefficient
+_SHORT = 8 * _PIECE  # longer words are hashed one by one
+
+
+def new_secret() -> int:
+    """A key for word hashes. The driver draws it once a run, so that no text can be made to collide."""
+    return secrets.randbits(128)
+
+
+def _times(a: np.ndarray, b: int) -> np.ndarray:
+    """a * b modulo 2**61 - 1, for a and b below it."""
+    low, high = np.uint64(b & 0xFFFFFFFF), np.uint64(b >> 32)
+    a_low, a_high = a & np.uint64(0xFFFFFFFF), a >> np.uint64(32)
+    middle = a_low * high + a_high * low  # below 2**62
+    top = a_high * high  # counts 2**64, which is 8
+    whole = a_low * low
+    out = (whole & _PRIME) + (whole >> np.uint64(61)) + (top << np.uint64(3))
+    out += ((middle << np.uint64(32)) & _PRIME) + (middle >> np.uint64(29))
+    out = (out & _PRIME) + (out >> np.uint64(61))
+    return np.where(out >= _PRIME, out - _PRIME, out)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, secret: int) -> np.ndarray:
+    """64-bit hashes of words: polynomials modulo 2**61 - 1 at a secret point, long words by a keyed digest.
+
+    Whoever does not know ``secret`` can't name two words that collide with more
+    than a chance of 2**-57; a modulus of 2**64 would have such words for every point.
+    """
+    point = secret % (int(_PRIME) - 2) + 1
+    length = ends - starts
+    out = np.empty(len(starts), np.uint64)
+    for n in np.flatnonzero(length > _SHORT).tolist():
+        digest = hashlib.blake2b(data[starts[n] : ends[n]].tobytes(), digest_size=8, key=secret.to_bytes(16, "little"))
+        out[n] = int.from_bytes(digest.digest(), "little")
+    short = np.flatnonzero(length <= _SHORT)
+    order = short[np.argsort(-length[short], kind="stable")]
+    at, size = starts[order], length[order]
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    view = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from every place
+    masks = np.array([(1 << (8 * n)) - 1 for n in range(_PIECE + 1)], np.uint64)
+    found = size.astype(np.uint64)
+    for n in range(0, int(size.max(initial=0)), _PIECE):
+        own = int(np.searchsorted(-size, -n, "left"))  # words longer than n
+        piece = view[at[:own] + n] & masks[np.minimum(size[:own] - n, _PIECE)]
+        total = _times(found[:own], point) + piece
+        found[:own] = np.where(total >= _PRIME, total - _PRIME, total)
+    out[order] = mix(found ^ np.uint64((secret >> 64) & ((1 << 64) - 1)))
+    return out
 
 
 def window_hashes(units: np.ndarray, size: int) -> np.ndarray:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hailbook.llm.arrays import BASE, blocks, lower, mix, prefix_sums, release, span_hash
+from hailbook.llm.arrays import BASE, blocks, lower, mix, new_secret, release, word_hashes
 from hailbook.llm.common import documents, staged
 
 MASKS = ("1101010011", "11001000111", "1010011011", "1111001001")
@@ -61,7 +61,7 @@ def unspaced(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return lead[some], (lead + np.where(wide, 4, 3))[some], kind[some]
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def tokens(data: np.ndarray, offsets: np.ndarray, secret: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the tokens, texts' first tokens.
 
     Tokens are runs of ASCII letters in lower case, digits and bytes of other
@@ -83,7 +83,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     begins[lead], finish[after - 1] = True, True
     begins[next_], finish[last] = inside[next_], inside[last]
     starts = np.flatnonzero(begins)
-    return span_hash(prefix_sums(data), starts, np.flatnonzero(finish) + 1), np.searchsorted(starts, offsets)
+    return word_hashes(data, starts, np.flatnonzero(finish) + 1, secret), np.searchsorted(starts, offsets)
 
 
 def places(mask: str) -> list[int]:
@@ -110,14 +110,14 @@ def masks_for(length: int) -> tuple[str, ...]:
     return SHORT.get(length) or tuple(m for m in MASKS + COVER if len(m) <= length)
 
 
-def item_tables(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
+def item_tables(items: DataFrame, secret: int, key: str = "item_id", text: str = "text") -> DataFrame:
     """(item_id, tokens array<long>, seeds array<struct<hash, place>>)."""
     kind = items.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, offsets in blocks(batch.column(1)):
-                units, begin = tokens(data, offsets)
+                units, begin = tokens(data, offsets, secret)
                 rows: list[dict] = []
                 for n in range(last - first):
                     own = units[begin[n] : begin[n + 1]]
@@ -158,7 +158,7 @@ def seed_filter(test: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
 
 
-def hit_segments(docs: DataFrame, passing: np.ndarray, masks: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
+def hit_segments(docs: DataFrame, secret: int, passing: np.ndarray, masks: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
     """(row, doc_id, start, tokens, hits): stretches of whole texts around seeds that pass the filter."""
     kind = docs.schema[key].dataType.simpleString()
     packed = np.packbits(passing)
@@ -170,7 +170,7 @@ def hit_segments(docs: DataFrame, passing: np.ndarray, masks: list[str], key: st
         filled = np.unpackbits(packed).astype(bool)
         for batch in batches:
             for first, last, data, offsets in blocks(batch.column(2)):
-                units, begin = tokens(data, offsets)
+                units, begin = tokens(data, offsets, secret)
                 at, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
                 for mask in masks:
                     h = seeds(units, mask)
@@ -274,14 +274,15 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     leaks only if it is the whole text. Items of one key with the same text are one item; rows that repeat
     a document key are looked at each.
     """
-    known = staged(item_tables(items, item_key, item_text).dropDuplicates(["item_id", "tokens"]), "items")
+    secret = new_secret()
+    known = staged(item_tables(items, secret, item_key, item_text).dropDuplicates(["item_id", "tokens"]), "items")
     test = known.select("item_id", F.col("tokens").alias("item_tokens"), F.explode("seeds").alias("seed")).select(
         "item_id", "item_tokens", F.col("seed.hash").alias("hash"), F.col("seed.place").alias("item_place")
     )
     longest = max(map(len, MASKS + COVER))
     lengths = known.select(F.least(F.size("tokens"), F.lit(longest)).alias("n")).distinct().collect()
     masks = sorted({mask for row in lengths for mask in masks_for(row["n"])})
-    segments = staged(hit_segments(docs, seed_filter(test), masks, key, text), "hits")
+    segments = staged(hit_segments(docs, secret, seed_filter(test), masks, key, text), "hits")
     hits = segments.select("row", "start", F.explode("hits").alias("hit")).select(
         "row", "start", F.col("hit.hash").alias("hash"), F.col("hit.place").alias("place")
     )

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hailbook.llm.arrays import (
-    blocks, inside_text, lower, mix, release, window_hashes, word_hashes, words,
+    blocks, inside_text, lower, mix, new_secret, release, window_hashes, word_hashes, words,
 )
 from hailbook.llm.common import documents, in_blocks, join_groups, staged
 from hailbook.llm.components import components
@@ -41,11 +41,11 @@ BLOCK = 4 << 20
 CHUNK = 256  # sets of a cluster that one task compares with as many others
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, secret: int, size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, ascending, and each text's first one."""
     data = lower(data)
     starts, ends, first = words(data, offsets)
-    units = word_hashes(data, starts, ends)
+    units = word_hashes(data, starts, ends, secret)
     found = window_hashes(units, size)
     inside = np.flatnonzero(inside_text(first, size, len(found)))
     text = np.searchsorted(first, inside, "right") - 1
@@ -69,11 +69,11 @@ def needed(count: np.ndarray | int, percent: int = PERCENT):
 class Sets:
     """The sets of a block of texts."""
 
-    def __init__(self, table: pa.Table, bits: int):
+    def __init__(self, table: pa.Table, bits: int, secret: int):
         self.keys = np.asarray(table["doc_id"].fill_null(NO_KEY)).astype(np.int64)
         parts, firsts, done = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], 0
         for _, _, data, offsets in blocks(table["text"]):
-            tokens, first = shingle_sets(data, offsets)
+            tokens, first = shingle_sets(data, offsets, secret)
             parts.append(tokens)
             firsts.append(first[1:] + done)
             done += len(tokens)
@@ -140,6 +140,7 @@ def described(sets: Sets, levels: np.ndarray, percent: int) -> pa.Table:
 def described_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """See ``described``. Token counts are exact up to keys that share their first bits, which costs only candidates."""
     blocked, total = in_blocks(docs.withColumn(key, F.col(key).cast("long")), key, text, BLOCK, LEAST)
+    secret = new_secret()
     bits = max(36, min(60, int(total).bit_length() + 6))
     buckets = max(LEAST, -(-total // BLOCK))
     texts = blocked.groupBy("block")
@@ -150,14 +151,14 @@ def described_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", per
             yield int(b), slice(cuts[b], cuts[b + 1])
 
     def ask(table: pa.Table) -> pa.Table:
-        sets, block = Sets(table, bits), table["block"][0].as_py()
+        sets, block = Sets(table, bits, secret), table["block"][0].as_py()
         counts = np.minimum(sets.counts, 65535).astype("<u2")
         return messages([(b, block, 1, join_parts(pack_sorted(sets.distinct[r]), counts[r].tobytes())) for b, r in ranges(sets)])
 
     def learn(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows:
             return described_none()
-        sets = Sets(table, bits)
+        sets = Sets(table, bits, secret)
         answers = {b: split_parts(data) for b, _, data in received(told, 1)}
         level = np.ones(len(sets.distinct), np.uint8)
         for b, r in ranges(sets):
@@ -169,7 +170,7 @@ def described_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", per
 
     def described_none() -> pa.Table:
         none = pa.table({"doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.string())})
-        return described(Sets(none, bits), np.zeros(0, np.uint8), percent)
+        return described(Sets(none, bits, secret), np.zeros(0, np.uint8), percent)
 
     asked = texts.applyInArrow(ask, MESSAGE)
     told = asked.groupBy("bucket").applyInArrow(lambda t: messages(answer_counts(t)), MESSAGE)

@@ -24,6 +24,7 @@ POOL = 6_000  # unlabelled rows used, at most
 ROUNDS = 4
 SURE = 0.97  # confidence of a pseudo-label
 PER_ROUND = 400  # pseudo-labels of one class in one round, at most
+SECRET = 0x9E3779B97F4A7C15F39CC0605CEDC835  # for hashes that are only compared within a text
 BUCKETS = 24  # of source, and of language, in the metadata view
 
 _CLASSES = np.zeros((8, 256), bool)
@@ -54,7 +55,7 @@ def content_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         count = np.maximum(np.diff(first), 1)
         length = (ends - starts).astype(np.float64)
         of = np.repeat(np.arange(rows), np.diff(first))
-        h = word_hashes(data, starts, ends)
+        h = word_hashes(data, starts, ends, SECRET)
         out[:, 8] = per_text(length, first) / count / 10
         out[:, 9] = np.sqrt(np.maximum(per_text(length**2, first) / count - (per_text(length, first) / count) ** 2, 0)) / 10
         again = np.zeros(len(h))

@@ -7,9 +7,11 @@ each step is one shuffle of short messages between blocks and buckets of keys:
    Blocks ask which anchor grams occur in a second document (short keys, one per
    block and gram).
 2. For those, blocks send each distinct context (all windows of the anchor) once
-   with its least document key. Equal contexts are settled here.
-3. Contexts that are equal in part only are sent as they are to the group of
-   their gram, where the operator's own suffix structure finds the common parts.
+   with its least document key, named by a 128-bit digest of its bytes. Equal
+   contexts are settled here.
+3. Contexts that are equal in part only are sent byte by byte to the group of
+   their gram, where the operator's own suffix structure finds the common parts;
+   what it finds is compared byte by byte.
    A gram with over ``hot`` occurrences is no group: its windows go to groups of
    their own, so the shared prefix of a group is as long as its size demands.
 
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -40,11 +43,15 @@ SEEN, ENTRIES, DEEP = 1, 2, 3
 
 @dataclass(frozen=True)
 class Rule:
-    """What repeats are looked for. ``units``: bytes and offsets to unit values and texts' first units."""
+    """What repeats are looked for.
+
+    ``units``: bytes and offsets of texts to unit values, texts' first units, the
+    bytes that count, and where each unit starts in them (and the end of the last).
+    """
 
     size: int
     gram: int
-    units: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+    units: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
     order: Callable[..., tuple[np.ndarray, np.ndarray]]
     bits: int = 40
     buckets: int = LEAST
@@ -132,8 +139,11 @@ class Block:
         self.keys = np.asarray(table["doc_id"].fill_null(NO_KEY)).astype(np.int64)
         parts = []
         done, first, found = 0, [np.zeros(1, np.int64)], []
+        spelled, edges = [np.zeros(0, np.uint8)], [np.zeros(1, np.int64)]
         for _, _, data, offsets in blocks(table["text"]):  # little at a time: hashes take many times the text
-            units, begins = rule.units(data, offsets)
+            units, begins, body, edge = rule.units(data, offsets)
+            edges.append(edge[1:] + edges[-1][-1])
+            spelled.append(body)
             own = anchored(units, begins, rule.size, rule.gram)
             for place in ("at", "low", "high"):
                 own[place] = own[place] + done
@@ -145,6 +155,7 @@ class Block:
         none = anchored(np.zeros(0, np.uint8), np.zeros(1, np.int64), rule.size, rule.gram)
         found = found or [none]
         self.units = np.concatenate(parts) if parts else rule.units(self.data, self.offsets)[0]
+        self.body, self.edge = np.concatenate(spelled), np.concatenate(edges)
         self.first = np.concatenate(first)
         self.found = {c: np.concatenate([f[c] for f in found]) for c in none}
         self.doc = self.keys[self.found["text"]]
@@ -191,26 +202,39 @@ class Block:
         self.heated = flags_of(heated, len(self.distinct))
         self.entries()
 
+    def digests(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """128-bit digests of the bytes of the units in [low, high), as two numbers."""
+        body, begin, end = self.body.tobytes(), self.edge[low].tolist(), self.edge[high].tolist()
+        found = b"".join([blake2b(body[a:b], digest_size=16).digest() for a, b in zip(begin, end, strict=True)])
+        both = np.frombuffer(found, np.uint64).reshape(-1, 2)
+        return both[:, 0], both[:, 1]
+
     def entries(self) -> None:
-        """Distinct (gram, context) of the anchors seen elsewhere, with their least key, in bucket order."""
+        """Distinct (gram, context) of the anchors seen elsewhere, with their least key, in bucket order.
+
+        A context is the digest of its bytes and the place of the anchor in it.
+        """
         rule, found = self.rule, self.found
         own = np.flatnonzero(self.seen[self.of])
-        key, context, doc = found["key"][own], found["context"][own], self.doc[own]
+        key, doc = found["key"][own], self.doc[own]
+        context, more = self.digests(found["low"][own], found["high"][own] + rule.size)
+        context = context ^ mix((found["at"][own] - found["low"][own]).astype(np.uint64))
         hot = self.heated[self.of[own]]
         where = bucket_of(np.where(hot, mix(key ^ context), key), 64, rule.buckets)
-        order = np.lexsort((found["at"][own], doc, context, key, where))
+        order = np.lexsort((found["at"][own], doc, more, context, key, where))
         self.own = own[order]
-        key, context, where = key[order], context[order], where[order]
-        new = new_groups(key, context)
+        key, context, more, where = key[order], context[order], more[order], where[order]
+        new = new_groups(key, context, more)
         lead = np.flatnonzero(new)
         self.entry_of = np.cumsum(new) - 1
-        self.entry = {"key": key[lead], "context": context[lead], "bucket": where[lead], "hot": hot[order][lead],
+        self.entry = {"key": key[lead], "context": context[lead], "more": more[lead], "bucket": where[lead], "hot": hot[order][lead],
                       "doc": doc[order][lead], "anchor": self.own[lead]}
 
     def ask_entries(self, block: int) -> list[tuple]:
         e = self.entry
         return [
-            (b, block, ENTRIES, join_parts(e["key"][r].tobytes(), e["context"][r].tobytes(), e["doc"][r].tobytes(), bits_of(e["hot"][r])))
+            (b, block, ENTRIES, join_parts(
+                e["key"][r].tobytes(), e["context"][r].tobytes(), e["more"][r].tobytes(), e["doc"][r].tobytes(), bits_of(e["hot"][r])))
             for b, r in self.ranges(e["bucket"])
         ]
 
@@ -251,9 +275,9 @@ class Block:
         counts = found["high"][burst] - found["low"][burst] + 1
         window = np.repeat(found["low"][burst], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         self.burst = {"window": window, "doc": np.repeat(self.doc[burst], counts)}
-        name = span_hash(prefix_sums(self.units), window, window + size) if len(window) else np.zeros(0, np.uint64)
-        order = np.lexsort((window, self.burst["doc"], name))
-        new = new_groups(name[order])
+        name, more = self.digests(window, window + size)
+        order = np.lexsort((window, self.burst["doc"], more, name))
+        new = new_groups(name[order], more[order])
         lead = order[new]
         self.burst["of"] = np.empty(len(window), np.int64)
         self.burst["of"][order] = np.cumsum(new) - 1
@@ -268,13 +292,14 @@ class Block:
 
     def ask_deep(self, block: int) -> list[tuple]:
         s, rows = self.sent, []
-        length = s["high"] - s["low"] + self.rule.size
+        begin = self.edge[s["low"]]
+        length = self.edge[s["high"] + self.rule.size] - begin
         for b, r in self.ranges(s["bucket"]):
             n = length[r]
-            take = np.repeat(s["low"][r] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            take = np.repeat(begin[r] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             rows.append((b, block, DEEP, join_parts(
                 s["key"][r].tobytes(), s["doc"][r].tobytes(), (s["at"][r] - s["low"][r]).astype("<u2").tobytes(),
-                (s["high"][r] - s["low"][r] + 1).astype("<u2").tobytes(), self.units[take].tobytes())))
+                (s["high"][r] - s["low"][r] + 1).astype("<u2").tobytes(), n.astype("<u4").tobytes(), self.body[take].tobytes())))
         return rows
 
     def covered(self, answers: list[tuple]) -> np.ndarray:
@@ -344,12 +369,13 @@ def answer_entries(table: pa.Table) -> list[tuple]:
     rows = received(table, ENTRIES)
     if not rows:
         return []
-    (key, context, doc, hot), message = _in_bucket(rows, [
+    (key, context, more, doc, hot), message = _in_bucket(rows, [
         lambda p: np.frombuffer(p[0], np.uint64), lambda p: np.frombuffer(p[1], np.uint64),
-        lambda p: np.frombuffer(p[2], np.int64), lambda p: flags_of(p[3], len(p[0]) // 8)])
-    order = np.lexsort((doc, context, key))
-    key, context, doc, hot = key[order], context[order], doc[order], hot[order]
-    new = new_groups(key, context)
+        lambda p: np.frombuffer(p[2], np.uint64), lambda p: np.frombuffer(p[3], np.int64),
+        lambda p: flags_of(p[4], len(p[0]) // 8)])
+    order = np.lexsort((doc, more, context, key))
+    key, context, more, doc, hot = key[order], context[order], more[order], doc[order], hot[order]
+    new = new_groups(key, context, more)
     starts = np.flatnonzero(new)
     least = np.repeat(doc[starts], group_ends(starts, len(doc)) - starts)
     of_key = np.cumsum(new_groups(key)) - 1
@@ -363,24 +389,47 @@ def answer_entries(table: pa.Table) -> list[tuple]:
     ]
 
 
-def answer_deep(rule: Rule, table: pa.Table, kind: np.dtype) -> list[tuple]:
+def plain_order(units: np.ndarray, key: np.ndarray, suffix: np.ndarray, end: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of the groups in order, and the units each shares with the one before; -1 between groups.
+
+    These are the leaves of the groups' suffix trees and the depths of the nodes
+    that join neighbours. Suffixes are read to ``size`` units at most.
+    """
+    length = np.minimum(end - suffix, size)
+    column = np.arange(size)[None, :]
+    inside = column < length[:, None]
+    table = np.where(inside, units[np.minimum(suffix[:, None] + column, len(units) - 1)], units.dtype.type(0))
+    order = np.lexsort((np.arange(len(length)), length, *table.T[::-1], key))
+    table, length, key = table[order], length[order], key[order]
+    depth = np.full(len(order), -1)
+    if len(order) > 1:
+        same = table[1:] == table[:-1]
+        equal = np.where(same.all(axis=1), size, same.argmin(axis=1))
+        equal = np.minimum(equal, np.minimum(length[1:], length[:-1]))
+        depth[1:] = np.where(new_groups(key)[1:], -1, equal)
+    return order, depth
+
+
+def answer_deep(rule: Rule, table: pa.Table) -> list[tuple]:
     """Windows of each context that also start in a document with a smaller key, as bits."""
     rows = received(table, DEEP)
     if not rows:
         return []
-    (key, doc, off, count), message = _in_bucket(rows, [
+    (key, doc, off, count, length), message = _in_bucket(rows, [
         lambda p: np.frombuffer(p[0], np.uint64), lambda p: np.frombuffer(p[1], np.int64),
-        lambda p: np.frombuffer(p[2], "<u2"), lambda p: np.frombuffer(p[3], "<u2")])
-    units = np.concatenate([np.frombuffer(split_parts(data)[4], kind) for _, _, data in rows])
+        lambda p: np.frombuffer(p[2], "<u2"), lambda p: np.frombuffer(p[3], "<u2"), lambda p: np.frombuffer(p[4], "<u4")])
+    data = np.frombuffer(b"".join([split_parts(data)[5] for _, _, data in rows]), np.uint8)
+    units, first, body, edge = rule.units(data, np.concatenate([[0], np.cumsum(length.astype(np.int64))]))
+    body = body.tobytes()
     off, count = off.astype(np.int64), count.astype(np.int64)
-    length = count - 1 + rule.size
-    begin = np.cumsum(length) - length
+    begin = first[:-1].astype(np.int64)
     hit = np.zeros(int(count.sum()), bool)
     bit = np.cumsum(count) - count
     suffix = begin + off
     # suffixes that start at the anchors, sorted within their gram; common: units shared with the one before
-    order, common = rule.order(units, key, suffix, begin + length)
+    order, common = rule.order(units, key, suffix, begin + count - 1 + rule.size)
     sums = prefix_sums(units)
+    bare = len(body) == len(units)  # units are the bytes themselves
     for o in range(rule.size - rule.gram + 1):  # windows whose anchor stands at offset o
         run = np.cumsum(common < rule.size - o)
         mine = (off[order] >= o) & (off[order] - count[order] + 1 <= o)
@@ -392,16 +441,27 @@ def answer_deep(rule: Rule, table: pa.Table, kind: np.dtype) -> list[tuple]:
         own, run, left = own[by], run[by], left[by]
         starts = np.flatnonzero(new_groups(run, left))
         size = group_ends(starts, len(own)) - starts
-        lead = np.repeat(own[starts], size)
-        later = doc[own] > doc[lead]
-        own, lead = own[later], lead[later]
-        for at in range(0, len(own), 50_000):  # equal hashes count only if the units are equal
-            a, b = own[at : at + 50_000], lead[at : at + 50_000]
+        group = np.repeat(np.arange(len(starts)), size)
+        lead = own[starts][group]
+        equal = np.ones(len(own), bool)  # to the first of the group, in its bytes
+        for at in range(0, len(own), 50_000) if bare else ():
+            a, b = suffix[own[at : at + 50_000]] - o, suffix[lead[at : at + 50_000]] - o
             span = np.arange(rule.size)[None, :]
-            same = (units[(suffix[a] - o)[:, None] + span] == units[(suffix[b] - o)[:, None] + span]).all(axis=1)
-            if not same.all():
-                raise ValueError("two different spans share a 64-bit hash: choose another BASE")
-            hit[bit[a] + off[a] - o] = True
+            equal[at : at + 50_000] = (units[a[:, None] + span] == units[b[:, None] + span]).all(axis=1)
+        if not bare:
+            low, high = edge[suffix[own] - o].tolist(), edge[suffix[own] - o + rule.size].tolist()
+            bytes_ = [body[a:b] for a, b in zip(low, high, strict=True)]
+            heads = starts[group].tolist()
+            equal = np.array([own_ == bytes_[h] for own_, h in zip(bytes_, heads, strict=True)], bool)
+        later = doc[own] > doc[lead]
+        for g in np.unique(group[~equal]).tolist():  # spans that share a hash: told apart by their bytes
+            least: dict[bytes, int] = {}
+            for n in range(starts[g], starts[g] + size[g]):
+                place = suffix[own[n]] - o
+                least.setdefault(body[edge[place] : edge[place + rule.size]], doc[own[n]])  # in order of doc
+                later[n] = doc[own[n]] > least[body[edge[place] : edge[place + rule.size]]]
+        own = own[later]
+        hit[bit[own] + off[own] - o] = True
     ends = np.append(bit, len(hit))
     last = np.searchsorted(message, np.arange(len(rows) + 1))
     return [
@@ -428,7 +488,6 @@ def repeats(docs: DataFrame, rule: Rule, finish: Callable[[Block, np.ndarray], p
     blocked, total = in_blocks(docs.withColumn(key, F.col(key).cast("long")), key, text, block_bytes, LEAST)
     bits = max(40, min(60, int(total).bit_length() + 8))
     rule = Rule(rule.size, rule.gram, rule.units, rule.order, bits, max(LEAST, -(-total // (2 * block_bytes))), rule.hot)
-    kind = np.dtype(rule.units(np.zeros(0, np.uint8), np.zeros(1, np.int64))[0].dtype)
     texts = blocked.groupBy("block")
 
     def number(table: pa.Table) -> int:
@@ -469,9 +528,10 @@ def repeats(docs: DataFrame, rule: Rule, finish: Callable[[Block, np.ndarray], p
         return texts.cogroup(told.groupBy("block")).applyInArrow(run, out)
 
     def by_bucket(asked: DataFrame, answer: Callable) -> DataFrame:
-        return asked.groupBy("bucket").applyInArrow(lambda t: messages([*answer(t), *echo(t)]), MESSAGE)
+        # as many tasks as named: buckets have few bytes and would be merged, but take work
+        return asked.repartition(2 * rule.buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: messages([*answer(t), *echo(t)]), MESSAGE)
 
     told = by_bucket(texts.applyInArrow(first, MESSAGE), lambda t: answer_seen(rule, t))
     told = by_bucket(with_texts(told, second, MESSAGE), answer_entries)
-    told = by_bucket(with_texts(told, third, MESSAGE), lambda t: answer_deep(rule, t, kind))
+    told = by_bucket(with_texts(told, third, MESSAGE), lambda t: answer_deep(rule, t))
     return with_texts(told, fourth, schema)

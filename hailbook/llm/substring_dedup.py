@@ -15,36 +15,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hailbook.llm.arrays import word_hashes, words
+from hailbook.llm.arrays import new_secret, word_hashes, words
 from hailbook.llm.common import documents
-from hailbook.llm.repeats import HOT, Block, Rule, new_groups, repeats
+from hailbook.llm.repeats import HOT, Block, Rule, plain_order, repeats
 
 WINDOW, GRAM = 13, 5
 
 
-def word_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_units(data: np.ndarray, offsets: np.ndarray, secret: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes, texts' first words, the words with one space after each, and where each word starts there."""
     starts, ends, first = words(data, offsets)
-    return word_hashes(data, starts, ends), first
-
-
-def tree_order(units: np.ndarray, key: np.ndarray, suffix: np.ndarray, end: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Leaves of the groups' suffix trees in order, and the depth of the node that joins each leaf to the one before.
-
-    Depths count words; -1 between groups. Suffixes are read to ``size`` words at most.
-    """
-    length = np.minimum(end - suffix, size)
-    column = np.arange(size)[None, :]
-    inside = column < length[:, None]
-    table = np.where(inside, units[np.minimum(suffix[:, None] + column, len(units) - 1)], np.uint64(0))
-    order = np.lexsort((*table.T[::-1], key))
-    table, length, key = table[order], length[order], key[order]
-    depth = np.full(len(order), -1)
-    if len(order) > 1:
-        same = table[1:] == table[:-1]
-        equal = np.where(same.all(axis=1), size, same.argmin(axis=1))
-        equal = np.minimum(equal, np.minimum(length[1:], length[:-1]))
-        depth[1:] = np.where(new_groups(key)[1:], -1, equal)
-    return order, depth
+    length = ends - starts
+    edge = np.concatenate([[0], np.cumsum(length + 1)])
+    spaced = np.full(edge[-1], ord(" "), np.uint8)
+    take = np.zeros(len(data) + 1, np.int8)
+    take[starts] += 1
+    np.add.at(take, ends, -1)
+    place = np.ones(edge[-1], bool)
+    place[edge[1:] - 1] = False
+    spaced[place] = data[np.cumsum(take[:-1]) > 0]
+    return word_hashes(data, starts, ends, secret), first, spaced, edge
 
 
 def removed_words(block: Block | None, covered: np.ndarray | None) -> pa.Table:
@@ -76,7 +66,8 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     texts have no words; a null key counts as larger than all others, and rows
     of one key do not repeat each other. Keys are integers.
     """
-    rule = Rule(window, gram, word_units, lambda u, k, s, e: tree_order(u, k, s, e, window), hot=hot)
+    secret = new_secret()
+    rule = Rule(window, gram, lambda d, o: word_units(d, o, secret), lambda u, k, s, e: plain_order(u, k, s, e, window), hot=hot)
     schema = "doc_id long, n_words long, n_removed long, n_spans long, kept string"
     return repeats(docs, rule, removed_words, schema, key, text)
 

@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 
 from hailbook.llm.arrays import prefix_sums, span_hash
 from hailbook.llm.common import documents
-from hailbook.llm.repeats import HOT, NO_KEY, Block, Rule, new_groups, repeats
+from hailbook.llm.repeats import HOT, NO_KEY, Block, Rule, group_ends, new_groups, plain_order, repeats
 
 WINDOW, GRAM = 50, 24
 
 
-def byte_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return data, offsets
+def byte_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return data, offsets, data, np.arange(len(data) + 1)
 
 
 class Suffixes:
@@ -44,50 +44,80 @@ class Suffixes:
         return low
 
     def before(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether suffix a sorts before suffix b; the shorter of two prefixes first, then the lower number."""
+        """Whether suffix a sorts before suffix b of its group; the shorter of two prefixes first, then the lower number."""
         shared = self.common(a, b)
         inside = (shared < self.length[a]) & (shared < self.length[b])
         last = len(self.units) - 1
         x = self.units[np.minimum(self.start[a] + shared, last)]
         y = self.units[np.minimum(self.start[b] + shared, last)]
         ended = (self.length[a] < self.length[b]) | ((self.length[a] == self.length[b]) & (a < b))
-        within = np.where(inside, x < y, ended)
-        return np.where(self.key[a] != self.key[b], self.key[a] < self.key[b], within)
+        return np.where(inside, x < y, ended)
 
     def sort(self) -> np.ndarray:
-        """Bottom-up mergesort; all merges of a level go at once, each row by binary search in the other run."""
-        n = len(self.start)
+        """Bottom-up mergesort within the groups; all merges of a level go at once, each row by binary search in the other run.
+
+        A group takes part in as many levels as its own size asks for.
+        """
         order = np.argsort(self.key, kind="stable")
-        run, place = 1, np.arange(n)
-        while run < n:
-            base = place // (2 * run) * (2 * run)
-            middle = np.minimum(base + run, n)
-            left = place < middle
+        heads = np.flatnonzero(new_groups(self.key[order]))
+        sizes = group_ends(heads, len(order)) - heads
+        active, run = np.arange(len(order)), 1
+        head, size = np.repeat(heads, sizes), np.repeat(sizes, sizes)
+        while True:
+            larger = size > run
+            active, head, size = active[larger], head[larger], size[larger]
+            if not len(active):
+                return order
+            base = head + (active - head) // (2 * run) * (2 * run)
+            middle = np.minimum(base + run, head + size)
+            left = active < middle
             low = np.where(left, middle, base)
-            high = np.where(left, np.minimum(base + 2 * run, n), middle)
+            high = np.where(left, np.minimum(base + 2 * run, head + size), middle)
             first = low.copy()
-            while True:
-                open_ = np.flatnonzero(low < high)
-                if not len(open_):
-                    break
+            open_ = np.flatnonzero(low < high)
+            while len(open_):
                 probe = (low[open_] + high[open_]) >> 1
-                smaller = self.before(order[probe], order[open_])
+                smaller = self.before(order[probe], order[active[open_]])
                 low[open_] = np.where(smaller, probe + 1, low[open_])
                 high[open_] = np.where(smaller, high[open_], probe)
-            target = np.where(left, place, place - middle + base) + low - first
-            merged = np.empty_like(order)
-            merged[target] = order
+                open_ = open_[low[open_] < high[open_]]
+            target = np.where(left, active, active - middle + base) + low - first
+            merged = order.copy()
+            merged[target] = order[active]
             order, run = merged, 2 * run
-        return order
+
+
+def in_order(units: np.ndarray, key: np.ndarray, start: np.ndarray, length: np.ndarray, order: np.ndarray, common: np.ndarray) -> bool:
+    """Whether neighbours of a group share just ``common`` units and ascend after them: then no hash has misled the sort."""
+    a, b = order[:-1], order[1:]
+    own = key[a] == key[b]
+    a, b, shared = a[own], b[own], common[1:][own]
+    last = len(units) - 1
+    for at in range(0, len(a), 50_000):
+        x, y, size = a[at : at + 50_000], b[at : at + 50_000], shared[at : at + 50_000]
+        span = np.arange(int(size.max(initial=0)))[None, :]
+        same = units[np.minimum(start[x][:, None] + span, last)] == units[np.minimum(start[y][:, None] + span, last)]
+        if not (same | (span >= size[:, None])).all():
+            return False
+        more = (size < length[x]) & (size < length[y])
+        rising = units[np.minimum(start[x] + size, last)] < units[np.minimum(start[y] + size, last)]
+        if not np.where(more, rising, (size == length[x]) & (length[x] <= length[y])).all():
+            return False
+    return True
 
 
 def suffix_order(units: np.ndarray, key: np.ndarray, suffix: np.ndarray, end: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted suffixes of the groups and the LCP array: common length with the one before, -1 between groups."""
+    """Sorted suffixes of the groups and the LCP array: common length with the one before, -1 between groups.
+
+    Where a look at the units shows that two spans share a hash, they are sorted by the units themselves.
+    """
     suffixes = Suffixes(units, key, suffix, end, size)
     order = suffixes.sort()
     common = np.full(len(order), -1)
     if len(order) > 1:
         common[1:] = np.where(new_groups(key[order])[1:], -1, suffixes.common(order[1:], order[:-1]))
+    if not in_order(units, key, suffix, suffixes.length, order, common):
+        return plain_order(units, key, suffix, end, size)
     return order, common
 
 

@@ -103,7 +103,7 @@ def test_leaks_in_scripts_without_spaces(spark):
     got = D.leaks(spark.createDataFrame(docs, TEXTS), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert sorted((x.doc_id, x.item_id) for x in got) == [(1, 1), (2, 2), (3, 1), (5, 3)]
     data = np.frombuffer("Ab水c。é 中".encode(), np.uint8)
-    assert len(D.tokens(data, np.array([0, len(data)]))[0]) == 5
+    assert len(D.tokens(data, np.array([0, len(data)]), 1)[0]) == 5
 
 
 def test_leaks_of_empty_tables(spark):

@@ -1,14 +1,20 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from hailbook.llm import common
 from hailbook.llm import repeats as R
 from hailbook.llm.common import in_blocks
-from hailbook.llm.substring_dedup import substring_dedup, tree_order
-from hailbook.llm.suffix_dedup import Suffixes, suffix_dedup
+from hailbook.llm import suffix_dedup as X
+from hailbook.llm.arrays import mix, word_hashes
+from hailbook.llm.decontamination import leaks
+from hailbook.llm.ngram_join import ngram_join
+from hailbook.llm.repeats import plain_order
+from hailbook.llm.substring_dedup import substring_dedup
+from hailbook.llm.suffix_dedup import Suffixes, suffix_dedup, suffix_order
 from tests.llm import brute
 
 
@@ -92,7 +98,7 @@ def test_mergesort_gives_the_order_of_the_bytes():
     data = units.tobytes()
     want = sorted(range(400), key=lambda i: (key[i], data[start[i] : start[i] + 50], i))
     assert s.sort().tolist() == want
-    order, depth = tree_order(units.astype(np.uint64), key, start, start + 60, 13)
+    order, depth = plain_order(units.astype(np.uint64), key, start, start + 60, 13)
     rows = [(key[i], data[start[i] : start[i] + 13]) for i in order]
     assert rows == sorted(rows) and depth[0] == -1
 
@@ -133,3 +139,69 @@ def test_results_with_many_rows_of_one_key(spark, monkeypatch, own):
     got = suffix_dedup(frame(spark, docs)).collect()
     want = brute.suffix([(10**9 if k is None else k, t) for k, t in docs])
     assert sorted((10**9 if r[0] is None else r[0], r[1], r[2], r[3], bytes(r[4])) for r in got) == want
+
+
+def thue_morse(size=1024):
+    """Two words that any polynomial modulo a power of two makes equal."""
+    bits = [bin(n).count("1") & 1 for n in range(size)]
+    return ("".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits))
+
+
+def test_colliding_words_are_told_apart(spark):
+    a, b = thue_morse()
+    front, back = (" ".join(f"{c}{n}" for n in range(20)) for c in "xy")
+    docs = spark.createDataFrame([(1, f"{front} {a} {back}"), (2, f"{front} {b} {back}")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup(docs).collect()}
+    assert got[1][:2] == (41, 0) and got[2] == (41, 40, b)
+    words = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in ngram_join(words).collect()) == [(1, 1), (2, 2)]
+    items = spark.createDataFrame([(7, a), (8, f"{front} {a}")], "item_id long, text string")
+    assert leaks(words.filter("doc_id = 2"), items).collect() == []
+    assert [(r.doc_id, r.item_id) for r in leaks(words.filter("doc_id = 1"), items).collect()] == [(1, 7)]
+
+
+def test_word_hashes_follow_the_bytes():
+    r = random.Random(8)
+    words = [bytes(r.randrange(97, 99) for _ in range(r.choice([0, 1, 7, 8, 14, 55, 56, 57, 200]))) for _ in range(400)]
+    ends = np.cumsum([len(w) for w in words])
+    data = np.frombuffer(b"".join(words), np.uint8)
+    starts = ends - [len(w) for w in words]
+    for secret in (r.getrandbits(128), r.getrandbits(128), (1 << 128) - 1):
+        found = word_hashes(data, starts, ends, secret).tolist()
+        assert len(set(zip(words, found, strict=True))) == len(set(words)) == len(set(found))
+    point = 0x1234567890ABCDE % ((1 << 61) - 3) + 1
+    want = (3 * point + int.from_bytes(b"abc", "little")) % ((1 << 61) - 1)
+    got = word_hashes(np.frombuffer(b"abc", np.uint8), np.array([0]), np.array([3]), 0x1234567890ABCDE)
+    assert got[0] == mix(np.array([want], np.uint64))[0]
+
+
+def test_a_sort_misled_by_hashes_is_done_again(monkeypatch):
+    rng = np.random.default_rng(3)
+    units = rng.integers(97, 99, 2000).astype(np.uint8)
+    start = rng.integers(0, 1900, 300)
+    key = rng.integers(0, 9, 300).astype(np.uint64)
+    want = [x.tolist() for x in plain_order(units, key, start, start + 60, 50)]
+    assert [x.tolist() for x in suffix_order(units, key, start, start + 60)] == want
+    monkeypatch.setattr(X, "span_hash", lambda sums, a, b: (sums[b] - sums[a]) * np.uint64(0))  # all spans collide
+    assert [x.tolist() for x in suffix_order(units, key, start, start + 60)] == want
+
+
+def test_spans_of_one_hash_are_told_apart(monkeypatch):
+    """Hashes of the parts before the anchors all collide: only bytes tell windows apart."""
+    docs = corpus(11, 25)
+    rule = R.Rule(5, 3, X.byte_units, lambda u, k, s, e: plain_order(u, k, s, e, 5))
+    texts = [(k, (t or "").encode()[:60]) for k, t in docs]
+    table = pa.table({"doc_id": [k for k, _ in texts], "text": [t.decode(errors="replace") for _, t in texts]})
+    monkeypatch.setattr(R, "span_hash", lambda sums, a, b: (sums[b] - sums[a]) * np.uint64(0))
+    block = R.Block(rule, table)
+
+    def told(asked, answer):
+        return [r for r in R.received(R.messages(answer(R.messages(asked))), asked[0][2] if asked else 0)]
+
+    block.learn_seen(told(block.ask_seen(0), lambda t: R.answer_seen(rule, t)))
+    block.learn_entries(told(block.ask_entries(0), R.answer_entries))
+    gone = block.covered(told(block.ask_deep(0), lambda t: R.answer_deep(rule, t)))
+    units = [(k, table["text"][n].as_py().encode()) for n, (k, _) in enumerate(texts)]
+    want = brute.covered(units, 5)
+    got = [set(np.flatnonzero(gone[block.offsets[n] : block.offsets[n + 1]]).tolist()) for n in range(len(units))]
+    assert got == want
