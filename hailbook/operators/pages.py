@@ -14,6 +14,7 @@ from hailbook.functions.html import (
     telegrams_of,
 )
 from hailbook.functions.text import text_or_empty
+from hailbook.operators.key_filter import key_filter, may_hold
 
 CONTACT_FIELDS = ("site_name", "emails", "telegrams", "phones")
 
@@ -83,8 +84,14 @@ def parsed_pages(accepted: DataFrame) -> DataFrame:
 
 
 def wanted_pages(accepted: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The accepted rows whose URL is in ``wanted`` (requested_url, distinct): only they are parsed."""
-    return accepted.join(wanted, "requested_url", "left_semi")
+    """The accepted rows whose URL is in ``wanted`` (requested_url, distinct): only they are parsed.
+
+    A filter of the wanted URLs is tested in the scan stage, so hardly any other
+    row with its html gets to the shuffle of the join. That is an inner join, as
+    the optimizer would move a left semi join below the filter.
+    """
+    maybe = may_hold(accepted, "requested_url", key_filter(wanted, "requested_url"))
+    return maybe.join(wanted, "requested_url").select(*accepted.columns)
 
 
 def page_hrefs(accepted: DataFrame) -> DataFrame:

@@ -480,6 +480,7 @@ ORACLES: dict[str, str] = {
         "contacts",
     ),
     "site_report": _with(_report(), "folded"),
+    "site_report_from_store": _with(_report(), "folded"),
     "run_summary": _with(
         """select (select count(*) from sites) as total_sites,
         (select count(*) from entries) as success_sites,

@@ -15,9 +15,10 @@ from hailbook.plans.run import SiteRun, plan_run
 from hailbook.schema import PAGES
 from hailbook.session import shared_folder
 from hailbook.sinks.lines import append_processed_domains, save_cleaned_sites, save_lines
+from hailbook.sinks.pages import write_page_store
 from hailbook.sinks.results import append_results
 from hailbook.sources.lines import load_processed_domains, read_lines
-from hailbook.sources.responses import responses_from_pages
+from hailbook.sources.responses import read_page_store, responses_from_pages
 from hailbook.sources.results import load_existing_result_urls, read_results
 from hailbook.streaming.incremental import (
     append_new,
@@ -431,6 +432,15 @@ def site_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir).report()
 
 
+@register
+def site_report_from_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole run over pages that were written by URL before."""
+    path = shared_folder(spark, "page-store")
+    write_page_store(view(spark, sf_dir, "responses"), path)
+    stored = read_page_store(spark, path)
+    return plan_run(_sites(spark, sf_dir), _processed(spark, sf_dir), stored).report()
+
+
 @register
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = crawl.with_candidates(_entries(spark, sf_dir))
