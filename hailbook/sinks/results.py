@@ -30,8 +30,3 @@ def append_results(rows: DataFrame, path: str) -> None:
     standard CSV writer does.
     """
     _writer(rows, "append").csv(path)
-
-
-def replace_results(rows: DataFrame, path: str, batch: str) -> None:
-    """Write the rows of one batch to its own folder below ``path``, in place of what is there."""
-    _writer(rows, "overwrite").csv(f"{path.rstrip('/')}/batch={batch}")

@@ -70,13 +70,16 @@ def append_new_with_state(
 
     ``stream`` is a stream of page rows with their contacts. A batch that is
     run again replaces its own two folders, so nothing is doubled: both have a
-    subfolder per batch.
+    subfolder per batch, below one named after the checkpoint, so that a stream
+    with a new checkpoint, whose batches count from 0 again, replaces nothing.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        stream_id = batch.sparkSession.read.schema("id string").json(f"{checkpoint}/metadata").first()["id"]
+        place = f"query={stream_id}/batch={number}"
+        batch.write.mode("overwrite").parquet(f"{target}/{place}")
         done = handled_domains(batch)
-        done.write.mode("overwrite").text(f"{state}/batch={number}")
+        done.write.mode("overwrite").text(f"{state}/{place}")
 
     query = (
         stream.writeStream.foreachBatch(write)

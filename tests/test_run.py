@@ -217,21 +217,73 @@ def test_result_files_are_read_by_column_name(spark, tmp_path):
     assert sorted(r[0] for r in load_existing_result_urls(spark, str(folder)).collect()) == ["https://a.com", "https://b.com"]
 
 
-def test_a_run_that_breaks_off_doubles_nothing(spark, site_file, responses, tmp_path, monkeypatch):
-    from hailbook.plans import run as plan
+@pytest.mark.parametrize("step", ["append_results", "append_processed_domains", "publish"])
+@pytest.mark.parametrize("before", [True, False])
+def test_a_run_that_breaks_off_loses_and_doubles_nothing(spark, site_file, responses, tmp_path, monkeypatch, step, before):
+    from hailbook.sinks import runs
 
     out = [str(tmp_path / name) for name in ("cleaned", "results", "processed")]
+    work = getattr(runs, step)
 
-    def fail(*_):
+    def fail(*args):
+        if not before:
+            work(*args)
         raise RuntimeError("lost")
 
     with monkeypatch.context() as m:
-        m.setattr(plan, "append_processed_domains", fail)
+        m.setattr(runs, step, fail)
         with pytest.raises(RuntimeError):
             run_sites(spark, site_file, responses, *out)
-    assert read_results(spark, out[1]).count() == 3
+    whole = step == "publish" and not before  # it was published, only nobody was told
+    assert read_results(spark, out[1]).count() == (3 if whole else 0)
+    assert load_processed_domains(spark, out[2]).count() == (7 if whole else 0)
+    with open(site_file, "a") as more:
+        more.write("http://www.b.com/home\n")  # another list than the one that broke off
     run_sites(spark, site_file, responses, *out)
-    assert read_results(spark, out[1]).count() == 3
+    rows = sorted(r["url"] for r in read_results(spark, out[1]).collect())
+    assert rows == ["http://www.b.com/home", "https://a.com", "https://e.com"]
+    assert run_sites(spark, site_file, responses, *out).skipped_sites == 9
+    assert sorted(r["url"] for r in read_results(spark, out[1]).collect()) == rows
+
+
+def test_plain_lines_and_published_runs_make_the_state(spark, tmp_path):
+    from hailbook.sinks.runs import write_run
+
+    out, state = str(tmp_path / "results"), str(tmp_path / "state")
+    append_processed_domains(spark.createDataFrame([("https://old.com",)], "site string"), state)
+    rows = spark.createDataFrame([("", "", "", "", "https://new.com")], read_results(spark, out).schema)
+    write_run(rows, spark.createDataFrame([("https://new.com",)], "site string"), out, state)
+    append_results(rows, f"{out}/run=never-published")
+    append_processed_domains(spark.createDataFrame([("https://lost.com",)], "site string"), f"{state}/run=x")
+    assert sorted(r[0] for r in load_processed_domains(spark, state).collect()) == ["new.com", "old.com"]
+    assert read_results(spark, out).count() == 1
+
+
+def test_results_with_line_breaks_in_quotes(spark, tmp_path):
+    import csv
+    import random
+
+    r = random.Random(1)
+    pieces = ["a", '"', ",", "\n", "\r\n", "é", " ", ""]
+    folder = tmp_path / "results"
+    folder.mkdir()
+    want = []
+    for number in range(12):
+        names = ["site_name", "emails", "telegrams", "phones", "url", "extra"]
+        r.shuffle(names)
+        names = names[: r.randint(1, 6)]
+        with open(folder / f"{number}.csv", "w", newline="", encoding="utf-8-sig" if number % 2 else "utf-8") as file:
+            write = csv.writer(file, lineterminator=r.choice(["\n", "\r\n"]), quoting=r.choice([csv.QUOTE_MINIMAL, csv.QUOTE_ALL]))
+            write.writerow(names)
+            for _ in range(30):
+                row = ["".join(r.choices(pieces, k=r.randint(0, 5))) for _ in range(r.randint(1, 7))]
+                write.writerow(row)
+        with open(folder / f"{number}.csv", newline="", encoding="utf-8-sig") as file:
+            for row in csv.DictReader(file):
+                want.append(tuple(row.get(c) or "" for c in ("site_name", "emails", "telegrams", "phones", "url")))
+    frame = read_results(spark, str(folder))
+    assert sorted(tuple(row) for row in frame.collect()) == sorted(want)
+    assert "Exchange" not in frame._jdf.queryExecution().executedPlan().toString()
 
 
 def test_only_wanted_pages_are_parsed(spark, responses):
@@ -246,7 +298,7 @@ def test_only_wanted_pages_are_parsed(spark, responses):
     assert "html" not in "".join(r for r in plans["status"].splitlines() if "LogicalRDD" not in r and "Filter" not in r)
     rows = plans["pages"].splitlines()
     parse = min(n for n, row in enumerate(rows) if "regexp_extract" in row)
-    join = min(n for n, row in enumerate(rows) if "LeftSemi" in row)
+    join = min(n for n, row in enumerate(rows) if "Join Inner, (requested_url" in row)
     assert parse < join  # the functions stand above the join
 
 
@@ -272,6 +324,10 @@ def test_stream_equals_batch_and_adds_nothing_twice(spark, tmp_path):
     assert found.count() == 6
 
 
+def stream_rows(frame, done):
+    return unprocessed_pages(frame, done).count()
+
+
 def test_stream_splits_hot_domains_and_keeps_a_state(spark, tmp_path):
     rows = [(i, f"https://h{i % 3}.com/{i}", f"m{i}@h.com") for i in range(30)]
     folder, target, state, check = (str(tmp_path / n) for n in ("in", "out", "state", "check"))
@@ -283,6 +339,9 @@ def test_stream_splits_hot_domains_and_keeps_a_state(spark, tmp_path):
     stream = page_contact_rows(unprocessed_pages(stream_pages(spark, folder), done, hot))
     incremental.append_new_with_state(stream, target, state, check)
     assert spark.read.parquet(target).count() == 20
+    frame.limit(1).write.mode("append").parquet(folder)
+    incremental.append_new_with_state(stream, target, state, f"{check}-new")  # nothing of before is replaced
+    assert spark.read.parquet(target).count() == 20 + 20 + stream_rows(frame.limit(1), done)
     handled = load_processed_domains(spark, state)
     assert sorted(r[0] for r in handled.collect()) == ["h0.com", "h2.com"]
     assert unprocessed_pages(frame, handled).count() == 10
