@@ -3,8 +3,8 @@
 Totals by source, language and tokenizer version are sums of signed deltas:
 an insert adds a document and its tokens, a delete takes them away, a revision
 adds the difference of two counts. A batch of events is added up before it is
-stored, and is stored under its name: a name that is there already is not
-stored again, so a batch may be sent as often as needed.
+stored, and counts once a marker names it: a batch that is named already is not
+stored again, so it may be sent as often as needed.
 """
 
 from __future__ import annotations
@@ -13,11 +13,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hailbook.llm.common import documents
+from hailbook.llm.byte_bpe import encode_documents
+from hailbook.llm.common import documents, staged
 from hailbook.llm.exact_dedup import exact_dedup
 from hailbook.session import shared_folder
 
 GROUP = ["source", "lang", "tokenizer"]
+MARKERS = "_batches"
 TOTALS = "source string, lang string, tokenizer string, docs long, tokens long"
 #: Pattern of a token, by tokenizer version.
 VERSIONS = {
@@ -30,6 +32,18 @@ def count_tokens(text: Column, version: str) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(VERSIONS[version])).cast("long")
 
 
+def bpe_counts(docs: DataFrame, ranks_path: str, version: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Insert events (see ``deltas``) of documents counted by the BPE of a vocabulary file, each text encoded once.
+
+    docs: key, text, source, lang. A null text has no tokens; rows that repeat a key count each.
+    """
+    rows = docs.select(F.struct(F.col(key).alias("key"), "source", "lang").alias("row"), F.col(text).alias("text"))
+    return encode_documents(rows, ranks_path, key="row").select(
+        "doc_id.source", "doc_id.lang", F.lit(version).alias("tokenizer"), F.lit("insert").alias("event"),
+        F.size("ids").cast("long").alias("tokens"), F.lit(None).cast("long").alias("old_tokens"),
+    )
+
+
 def deltas(events: DataFrame) -> DataFrame:
     """Totals of signed events (source, lang, tokenizer, event, tokens, old_tokens).
 
@@ -48,7 +62,12 @@ def deltas(events: DataFrame) -> DataFrame:
 
 
 class Rollup:
-    """Totals kept in a folder that all machines share, one subfolder per batch."""
+    """Totals kept in a folder that all machines share, one subfolder per batch.
+
+    A batch counts from the moment that one file in ``_batches`` names it, which
+    appears as a whole; folders of batches that broke off are not read. Batch
+    names are metadata like file names, and come to the driver as these do.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -58,30 +77,32 @@ class Rollup:
             raise ValueError(f"not a batch name: {name!r}")
         return f"{self.path}/batch={name}"
 
-    def committed(self, name: str) -> bool:
-        """Whether the batch is there: its one file appears as a whole when its job commits."""
+    def batches(self) -> list[str]:
+        """Names of the batches that count."""
         try:
-            return bool(self.spark.read.schema(TOTALS).parquet(self._batch(name)).inputFiles())
+            names = self.spark.read.text(f"{self.path}/{MARKERS}").distinct().collect()
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return False
+            return []
+        return sorted(row["value"] for row in names)
 
     def commit(self, name: str, events: DataFrame) -> bool:
         """Store a batch; False if it was stored before. One that broke off is written anew."""
-        if self.committed(name):
+        place = self._batch(name)
+        if name in self.batches():
             return False
-        deltas(events).coalesce(1).write.mode("overwrite").parquet(self._batch(name))
+        deltas(events).write.mode("overwrite").parquet(place)
+        marker = self.spark.createDataFrame([(name,)], "value string")
+        marker.coalesce(1).write.mode("append").text(f"{self.path}/{MARKERS}")
         return True
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens; groups whose documents and tokens are all gone are left out."""
-        try:
-            stored = self.spark.read.schema(TOTALS + ", batch string").parquet(self.path)
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            stored = self.spark.createDataFrame([], TOTALS)
+        places = [self._batch(name) for name in self.batches()]
+        stored = self.spark.createDataFrame([], TOTALS)
+        if places:
+            stored = self.spark.read.schema(TOTALS).parquet(*places)
         return (
             stored.groupBy(*GROUP)
             .agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens"))
@@ -93,10 +114,12 @@ def maintain(docs: DataFrame, rollup: Rollup) -> DataFrame:
     """Totals after four batches over ``docs`` (doc_id, text, source, lang, n_chars), the first one sent twice.
 
     All documents come in under words-1; copies that exact dedup drops go out
-    again; all come in under words-2 with a guess from ``n_chars``; the guesses
-    are revised to counts.
+    again, row by row (rows that repeat a kept key and text all stay, as all
+    null keys of a text do if it has no other); all come in under words-2 with
+    a guess from ``n_chars``; the guesses are revised to counts.
     """
     base = docs.select("doc_id", "source", "lang", F.col("text"), "n_chars")
+    text_digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
 
     def events(rows: DataFrame, version: str, event: str, tokens: Column, old: Column | None = None) -> DataFrame:
         return rows.select(
@@ -106,9 +129,14 @@ def maintain(docs: DataFrame, rollup: Rollup) -> DataFrame:
 
     one, two = count_tokens(F.col("text"), "words-1"), count_tokens(F.col("text"), "words-2")
     guess = F.floor(F.coalesce("n_chars", F.lit(0)) / 5).cast("long")
-    dropped = exact_dedup(docs).filter("not kept").select("doc_id")
+    dropped = exact_dedup(docs).filter("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_text"))
+    dropped = staged(dropped.distinct(), "dropped")
+    counted = base.select("doc_id", "source", "lang", one.alias("tokens"), text_digest.alias("digest"))
+    copies = counted.join(
+        dropped, counted.doc_id.eqNullSafe(dropped.gone_id) & (counted.digest == dropped.gone_text), "left_semi"
+    )
     rollup.commit("insert", events(base, "words-1", "insert", one))
-    rollup.commit("copies", events(base.join(dropped, "doc_id", "left_semi"), "words-1", "delete", one))
+    rollup.commit("copies", events(copies, "words-1", "delete", F.col("tokens")))
     rollup.commit("guess", events(base, "words-2", "insert", guess))
     rollup.commit("revise", events(base, "words-2", "revise", two, guess))
     rollup.commit("insert", events(base, "words-1", "insert", one))
@@ -120,7 +148,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = rf"""
-with d as (select *, doc_id = max(doc_id) over (partition by coalesce(text, '')) as kept from documents)
+with d as (select *, doc_id is not distinct from max(doc_id) over (partition by coalesce(text, '')) as kept from documents)
 select source, lang, 'words-1' as tokenizer, count(*)::bigint as n_docs,
   sum(len(regexp_extract_all(coalesce(text, ''), '{VERSIONS["words-1"]}')))::bigint as n_tokens
 from d where kept group by source, lang

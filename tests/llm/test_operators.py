@@ -18,6 +18,7 @@ from hailbook.llm import licence_scan as S
 from hailbook.llm import licence_texts
 from hailbook.llm import quality as Q
 from hailbook.llm.perfect_hash import PerfectHash
+from hailbook.llm import token_counts as T
 from hailbook.llm.token_counts import Rollup, maintain
 
 TEXTS = "doc_id long, text string"
@@ -330,3 +331,54 @@ def test_token_counts_over_documents(spark, tmp_path):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, [
         ("s", "en", "words-1", 1, 2), ("s", None, "words-1", 1, 0), ("t", "de", "words-1", 1, 1),
         ("s", "en", "words-2", 2, 4), ("s", None, "words-2", 1, 0), ("t", "de", "words-2", 1, 4)]))
+
+
+def test_token_counts_drop_copies_by_row(spark, tmp_path):
+    """A key with one dropped and one kept text, repeated rows, and null keys; beside the SQL of the query."""
+    import duckdb
+
+    rows = [(1, "a", "s", "en", 1), (1, "b c", "s", "en", 3), (2, "a", "s", "en", 1), (None, "z z", "s", "en", 3),
+            (None, "z z", "s", "en", 3), (None, "a", "s", "en", 1), (4, "q", None, "en", 1), (4, "q", None, "en", 1)]
+    docs = spark.createDataFrame(rows, TEXTS + ", source string, lang string, n_chars long")
+    got = sorted(map(str, map(tuple, maintain(docs, Rollup(spark, str(tmp_path / "rollup"))).collect())))
+    assert str(("s", "en", "words-1", 4, 7)) in got and str((None, "en", "words-1", 2, 2)) in got
+    documents = docs.toPandas()  # noqa: F841  duckdb reads it by name
+    assert got == sorted(map(str, duckdb.sql(T.SQL).fetchall()))
+    empty = maintain(docs.limit(0), Rollup(spark, str(tmp_path / "empty")))
+    assert empty.collect() == []
+
+
+def test_a_batch_counts_only_once_it_is_named(spark, tmp_path):
+    columns = "source string, lang string, tokenizer string, event string, tokens long, old_tokens long"
+    rows = spark.createDataFrame([("a", "en", "v1", "insert", 10, None)], columns)
+    rollup = Rollup(spark, str(tmp_path / "rollup"))
+    rollup.commit("one", rows)
+    T.deltas(rows).write.parquet(rollup._batch("two"))  # files are there, the marker is not
+    assert rollup.batches() == ["one"] and [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "v1", 1, 10)]
+    assert rollup.commit("two", rows) and not rollup.commit("two", rows)
+    assert [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "v1", 2, 20)]
+
+
+def test_many_groups_are_stored_without_a_single_task(spark, tmp_path):
+    rows = spark.range(100_000).select(
+        F.concat(F.lit("s"), "id").alias("source"), F.lit("en").alias("lang"), F.lit("v1").alias("tokenizer"),
+        F.lit("insert").alias("event"), F.lit(2).cast("long").alias("tokens"), F.lit(None).cast("long").alias("old_tokens"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rollup = Rollup(spark, str(tmp_path / "rollup"))
+        rollup.commit("one", rows)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "rollup" / "batch=one").glob("*.parquet"))) > 1
+    assert rollup.totals().agg(F.count("*"), F.sum("n_tokens")).first() == (100_000, 200_000)
+
+
+def test_tokens_of_a_bpe_vocabulary(spark, tmp_path):
+    path = public_tokenizers.path(B.RANKS)
+    texts = ["Hello world, 12345!", None, "", "naïve 日本 text" * 30, "x" * 3000]
+    docs = spark.createDataFrame([(n % 3, t, f"s{n % 2}", "en") for n, t in enumerate(texts)], TEXTS + ", source string, lang string")
+    real = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: n for n, t in enumerate(B.read_ranks(path))}, special_tokens={})
+    rollup = Rollup(spark, str(tmp_path / "rollup"))
+    rollup.commit("bpe", T.bpe_counts(docs, path, "byte_bpe_50k"))
+    want = [(f"s{s}", "en", "byte_bpe_50k", len(texts[s::2]), sum(len(real.encode(t or "")) for t in texts[s::2])) for s in (0, 1)]
+    assert sorted(map(tuple, rollup.totals().collect())) == want
