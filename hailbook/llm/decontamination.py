@@ -23,12 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hailbook.llm.arrays import BASE, blocks, lower, mix, new_secret, release, word_hashes
-from hailbook.llm.common import documents, staged
+from hailbook.llm.common import documents, join_groups, staged
 
 MASKS = ("1101010011", "11001000111", "1010011011", "1111001001")
 FILTER_BITS = 23
 PROBES = 3
 AROUND = 64  # tokens kept on each side of a hit
+HITS = 1 << 16  # hits in one row
 LEAST_TOKENS = 4  # items with fewer tokens leak only as the whole text
 #: With one of these, every item of ten tokens or more hits whichever fifth of its tokens is replaced or cut off.
 COVER = ("111111", "11110011", "11001111", "1111000011", "1100110011", "1100001111", "111110000011111")
@@ -159,12 +160,17 @@ def seed_filter(test: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
 
 
 def hit_segments(docs: DataFrame, secret: int, passing: np.ndarray, masks: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row, doc_id, start, tokens, hits): stretches of whole texts around seeds that pass the filter."""
+    """(row, doc_id, start, tokens, hits): stretches of whole texts around seeds that pass the filter.
+
+    A stretch has one row with its tokens (``hits`` null) and rows of up to
+    ``HITS`` hits each (``tokens`` null), so that no row grows with the square of a text.
+    """
     kind = docs.schema[key].dataType.simpleString()
     packed = np.packbits(passing)
     bits = len(passing).bit_length() - 1
     reach = max(map(len, masks), default=0)
     pair = pa.struct([("hash", pa.int64()), ("place", pa.int32())])
+    names = ["row", "doc_id", "start", "tokens", "hits"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filled = np.unpackbits(packed).astype(bool)
@@ -193,22 +199,29 @@ def hit_segments(docs: DataFrame, secret: int, passing: np.ndarray, masks: list[
                 new = np.ones(len(place), bool)
                 new[1:] = (of[1:] != of[:-1]) | (place[1:] - place[:-1] > 2 * AROUND)
                 cuts = np.append(np.flatnonzero(new), len(place))
+                stretch = np.cumsum(new) - 1
+                n = of[cuts[:-1]]
+                low = np.maximum(begin[n], place[cuts[:-1]] - AROUND)
+                high = np.minimum(begin[n + 1], place[cuts[1:] - 1] + reach + AROUND)
                 keys, numbers = batch.column(1).slice(first, last - first), batch.column(0).slice(first, last - first)
-                starts, bodies, found, rows = [], [], [], []
-                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    n = of[a]
-                    low = max(begin[n], place[a] - AROUND)
-                    high = min(begin[n + 1], place[b - 1] + reach + AROUND)
-                    rows.append(n)
-                    starts.append(low - begin[n])
-                    bodies.append(units[low:high].view(np.int64))
-                    found.append([{"hash": x, "place": p} for x, p in zip(h[a:b].view(np.int64).tolist(), (place[a:b] - low).tolist(), strict=True)])
-                take = pa.array(rows, pa.int64())
+                starts, take = low - begin[n], pa.array(n, pa.int64())
+                bodies = pa.array([units[a:b].view(np.int64) for a, b in zip(low, high, strict=True)], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [numbers.take(take), keys.take(take), pa.array(starts, pa.int64()),
-                     pa.array(bodies, pa.list_(pa.int64())), pa.array(found, pa.list_(pair))],
-                    ["row", "doc_id", "start", "tokens", "hits"],
+                    [numbers.take(take), keys.take(take), pa.array(starts, pa.int64()), bodies, pa.nulls(len(n), pa.list_(pair))], names
+                )
+                found = pa.StructArray.from_arrays(
+                    [pa.array(h.view(np.int64)), pa.array(place - low[stretch], pa.int32())], fields=list(pair)
                 )
+                for a in range(0, len(place), HITS):
+                    b = min(a + HITS, len(place))
+                    edges = np.unique(np.concatenate([[a, b], cuts[(cuts > a) & (cuts < b)]]))
+                    which = stretch[edges[:-1]]
+                    take = pa.array(n[which], pa.int64())
+                    lists = pa.ListArray.from_arrays(pa.array(edges - a, pa.int32()), found.slice(a, b - a))
+                    yield pa.RecordBatch.from_arrays(
+                        [numbers.take(take), keys.take(take), pa.array(starts[which], pa.int64()),
+                         pa.nulls(len(which), pa.list_(pa.int64())), lists], names
+                    )
         release()
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc_id"), F.col(text).alias("text"))
@@ -275,9 +288,10 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     a document key are looked at each.
     """
     secret = new_secret()
-    known = staged(item_tables(items, secret, item_key, item_text).dropDuplicates(["item_id", "tokens"]), "items")
-    test = known.select("item_id", F.col("tokens").alias("item_tokens"), F.explode("seeds").alias("seed")).select(
-        "item_id", "item_tokens", F.col("seed.hash").alias("hash"), F.col("seed.place").alias("item_place")
+    own = item_tables(items, secret, item_key, item_text).dropDuplicates(["item_id", "tokens"])
+    known = staged(own.withColumn("item", F.monotonically_increasing_id()), "items")
+    test = known.select("item", F.explode("seeds").alias("seed")).select(
+        "item", F.col("seed.hash").alias("hash"), F.col("seed.place").alias("item_place")
     )
     longest = max(map(len, MASKS + COVER))
     lengths = known.select(F.least(F.size("tokens"), F.lit(longest)).alias("n")).distinct().collect()
@@ -286,15 +300,19 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     hits = segments.select("row", "start", F.explode("hits").alias("hit")).select(
         "row", "start", F.col("hit.hash").alias("hash"), F.col("hit.place").alias("place")
     )
-    laid = (
-        hits.join(test, "hash")
-        .select("row", "start", "item_id", "item_tokens", (F.col("place") - F.col("item_place")).alias("shift"))
-        .distinct()
+    laid = hits.join(test, "hash").select("row", "start", "item", (F.col("place") - F.col("item_place")).alias("shift")).distinct()
+    bodies = segments.filter("tokens is not null").select("row", "start", "doc_id", F.col("tokens").alias("text_tokens"))
+    item_bodies = known.select("item", "item_id", F.col("tokens").alias("item_tokens"))
+    # of a stretch only the tokens that the item lies over go on
+    low = F.greatest("shift", F.lit(0))
+    high = F.least(F.size("text_tokens"), F.col("shift") + F.size("item_tokens"))
+    pairs = join_groups(laid, item_bodies, "item", F.xxhash64("item")).join(bodies, ["row", "start"]).select(
+        "row", "doc_id", "item_id", F.slice("text_tokens", low + 1, F.greatest(high - low, F.lit(0))).alias("text_tokens"),
+        "item_tokens", (F.col("shift") - low).alias("shift"), (F.col("start") + low).alias("start"),
     )
-    bodies = segments.select("row", "start", "doc_id", F.col("tokens").alias("text_tokens"))
     best = F.max(F.struct("score", (-F.col("place")).alias("back"), "matches", "aligned")).alias("best")
     return (
-        verified(laid.join(bodies, ["row", "start"]))
+        verified(pairs)
         .groupBy("row", "doc_id", "item_id")
         .agg(best)
         .select(

@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from itertools import combinations
 
 import numpy as np
@@ -52,6 +53,18 @@ def leaks_brute(docs, items):
     return out
 
 
+def test_a_long_text_of_one_item_sends_each_token_few_times(spark):
+    """4 MB of one repeated item, and the same item once behind many others; time in proportion."""
+    item = " ".join(f"wo{n}rd" for n in range(30))
+    text = " ".join([item] * ((4 << 20) // len(item)))
+    docs = spark.createDataFrame([(1, text), (2, "x " * 5000 + item), (3, "x " * 50_000), (None, item)], TEXTS).repartition(2)
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    begin = time.monotonic()
+    got = sorted(map(str, map(tuple, D.leaks(docs, items).collect())))
+    assert time.monotonic() - begin < 40  # about 24 s on eight cores
+    assert got == sorted(map(str, [(1, 7, 30, 30, 0), (2, 7, 30, 30, 5000), (None, 7, 30, 30, 0)]))
+
+
 def test_leaks_survive_substitutions_and_spare_clean_texts(spark):
     r = random.Random(5)
     word = lambda: f"w{r.randint(0, 400)}"
