@@ -3,7 +3,7 @@
 The whole text of a document, and each whole line of it, is brought to a
 canonical form (case, punctuation, spacing, copyright lines, equivalent
 spellings), digested, and hash-joined to the digests of known licence texts.
-DataFrame functions only.
+Copyright lines count as such behind comment marks too. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -14,10 +14,10 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hailbook.llm.common import documents
+from hailbook.llm.common import documents, join_groups, staged
 from hailbook.llm.licence_texts import SPELLINGS, TEXTS
 
-COPYRIGHT = r"(^|\n)[ \t]*(?:copyright|\(c\)|©)[^\n]*"
+COPYRIGHT = r"(^|\n)[ \t#*/;%!<>|-]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*"
 PUNCTUATION = r"[^a-z0-9\n\x{80}-\x{10FFFF}]+"
 
 
@@ -58,36 +58,43 @@ def licence_scan(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: s
     of their own text. ``known``: (digest, license), one row per digest.
     """
     base = docs.select(F.col(key).alias("doc_id"), canonical(F.col(text)).alias("lines"))
-    rows = base.select(
-        "doc_id",
-        digest(whole(F.col("lines"))).alias("text_digest"),
-        F.filter(F.split("lines", "\n"), lambda x: F.btrim(x) != "").alias("lines"),
+    filled = F.filter(F.split("lines", "\n"), lambda x: F.btrim(x) != "")
+    rows = staged(
+        base.select(
+            "doc_id",
+            digest(whole(F.col("lines"))).alias("text_digest"),
+            digest(F.col("lines")).alias("lines_digest"),
+            F.transform(filled, lambda x: F.unhex(digest(F.btrim(x)))).alias("line_digests"),
+        ),
+        "licence-digests",
     )
     named = known.select(F.col("digest").alias("text_digest"), F.col("license").alias("text_license"))
-    of_lines = (
-        rows.select("doc_id", "text_digest", F.explode("lines").alias("line"))
-        .select("doc_id", "text_digest", digest(F.btrim("line")).alias("digest"))
-        .join(known, "digest")
-        .groupBy("doc_id", "text_digest")
+    # equal texts have equal findings: they are kept once, and the rows look them up
+    hits = (
+        rows.select("lines_digest", F.explode("line_digests").alias("line"))
+        .join(known.select(F.unhex("digest").alias("line"), "license"), "line")
+        .groupBy("lines_digest")
         .agg(
             F.array_join(F.array_sort(F.collect_set("license")), ",").alias("line_licenses"),
             F.count("*").alias("line_hits"),
         )
     )
-    same = rows.groupBy("doc_id", "text_digest").agg(F.count("*").alias("copies"))
-    found = (
-        same.join(of_lines, same.doc_id.eqNullSafe(of_lines.doc_id) & (same.text_digest == of_lines.text_digest), "left")
-        .select(same.doc_id, same.text_digest, "copies", "line_licenses", "line_hits")
+    copies = rows.groupBy("lines_digest").agg(F.count("*").alias("copies"))
+    found = hits.join(copies, "lines_digest").select(
+        "lines_digest", "line_licenses", (F.col("line_hits") / F.col("copies")).cast("long").alias("n_license_lines")
+    )
+    slim = rows.select("doc_id", "text_digest", "lines_digest")
+    return (
+        join_groups(slim, found, "lines_digest", F.xxhash64("lines_digest"), "left")
         .join(named, "text_digest", "left")
+        .select(
+            "doc_id",
+            "text_digest",
+            "text_license",
+            F.coalesce("line_licenses", F.lit("")).alias("line_licenses"),
+            F.coalesce("n_license_lines", F.lit(0)).alias("n_license_lines"),
+        )
     )
-    return found.select(
-        "doc_id",
-        "text_digest",
-        "text_license",
-        F.coalesce("line_licenses", F.lit("")).alias("line_licenses"),
-        F.coalesce((F.col("line_hits") / F.col("copies")).cast("long"), F.lit(0)).alias("n_license_lines"),
-        F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
-    ).drop("copy")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

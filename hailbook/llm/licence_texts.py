@@ -15,6 +15,23 @@ Permission is granted to anyone to use this software for any purpose, including
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution."""
 
+BSD_CLAUSES = (
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+)
+BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+BSD_TAIL = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+
+def bsd(clauses: int, numbered: bool) -> str:
+    """BSD licence of two or three clauses, which come numbered or with bullets."""
+    marks = [f"{n}." if numbered else "*" for n in range(1, clauses + 1)]
+    return "\n".join([BSD_HEAD, *(f"{m} {c}" for m, c in zip(marks, BSD_CLAUSES, strict=False)), BSD_TAIL])
+
+
+BSD = tuple((f"BSD-{n}-Clause", bsd(n, numbered)) for n in (2, 3) for numbered in (True, False))
+
 #: Whole texts, a file each, named after the licence.
 FILES = tuple((f.name, f.read_text("utf-8")) for f in sorted((Path(__file__).parent / "licences").iterdir()))
 END = "END OF TERMS AND CONDITIONS"  # what comes after it tells how to apply the licence
@@ -22,6 +39,8 @@ TITLES = {
     "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
     "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
     "Zlib": ("zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License"),
 }
 
 #: (licence, text): whole texts and whole notice lines.
@@ -29,6 +48,7 @@ TEXTS = (
     ("MIT", MIT),
     ("ISC", ISC),
     ("Zlib", ZLIB),
+    *BSD,
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -39,7 +59,7 @@ TEXTS = (
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "Released under CC0 1.0."),
-    *((name, f"{title}\n{text}") for name, text in (("MIT", MIT), ("ISC", ISC), ("Zlib", ZLIB)) for title in TITLES[name]),
+    *((name, f"{title}\n{text}") for name, text in (("MIT", MIT), ("ISC", ISC), ("Zlib", ZLIB), *BSD) for title in TITLES[name]),
     *FILES,
     *((name, text[: text.index(END) + len(END)]) for name, text in FILES if END in text),
     *((name, text[: text.index(END)]) for name, text in FILES if END in text),

@@ -315,6 +315,24 @@ def test_licence_files(spark):
     assert got == dict(enumerate(name for name, _ in docs)) | {99: None, 98: None}
 
 
+def test_licences_behind_comment_marks_many_copies_and_long_texts(spark):
+    marked = "".join(f"# {part}\n" for part in ["Copyright (c) 2020 Someone", *licence_texts.MIT.split("\n")])
+    block = "/*\n * (c) 2021 A\n * " + licence_texts.ISC.replace("\n", "\n * ") + "\n */"
+    three = "BSD 3-Clause License\n\nCopyright (c) 2020, A\nAll rights reserved.\n\n" + licence_texts.bsd(3, True)
+    bullets = "// Copyright 2019 B\n" + licence_texts.bsd(2, False)
+    line = "Released under the MIT License."
+    long = (line + "\n") * 3 + "prose without end " * 200_000
+    texts = [(1, marked), (2, block), (3, three), (4, bullets), (5, long), (6, "Mr Copyright said")]
+    frame = spark.createDataFrame([(k, t, 1) for k, t in texts], TEXTS + ", digest int")
+    many = spark.range(30_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit(1).alias("digest"))
+    same = spark.range(3_000).select(F.lit(9).cast("long").alias("doc_id"), F.lit(line).alias("text"), F.lit(1).alias("digest"))
+    got = S.licence_scan(frame.union(many).union(same), S.catalogue(spark))
+    counts = got.groupBy("doc_id", "text_license", "line_licenses", "n_license_lines").count().collect()
+    assert {tuple(r) for r in counts} == {
+        (1, "MIT", "", 0, 1), (2, "ISC", "", 0, 1), (3, "BSD-3-Clause", "", 0, 1), (4, "BSD-2-Clause", "", 0, 1), (5, None, "MIT", 3, 1),
+        (6, None, "", 0, 1), (None, None, "", 0, 30_000), (9, "MIT", "MIT", 1, 3_000)}
+
+
 def test_rollup_batches_count_once(spark, tmp_path):
     columns = "source string, lang string, tokenizer string, event string, tokens long, old_tokens long"
     rollup = Rollup(spark, str(tmp_path / "rollup"))
