@@ -26,6 +26,12 @@ def ledger_of(spark: SparkSession, output_path: str) -> str | None:
     return None if pointer is None else pointer.first()["value"]
 
 
+def published(spark: SparkSession, processed_path: str) -> DataFrame | None:
+    """Distinct names (``run``) of the runs that count, None if there is no ledger."""
+    runs = _lines(spark, f"{processed_path.rstrip('/')}/{LEDGER}")
+    return None if runs is None else runs.select(F.col("value").alias("run")).distinct()
+
+
 def committed(rows: DataFrame, ledger: str | None, file: str = "file") -> DataFrame:
     """The rows whose ``file`` is in no run folder, or in that of a run that was published."""
     run = F.regexp_extract(file, "/run=([^/]+)/[^/]*$", 1)

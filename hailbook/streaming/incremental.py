@@ -10,6 +10,9 @@ from hailbook.functions.urls import normalize_domain
 from hailbook.operators.pages import with_contacts
 from hailbook.operators.skew import ROWS_PER_TASK, hot_keys, salted_join
 from hailbook.schema import PAGES
+from hailbook.sinks.runs import publish
+from hailbook.sources.lines import load_processed_domains
+from hailbook.sources.runs import published
 
 
 def stream_pages(
@@ -75,8 +78,7 @@ def append_new_with_state(
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        stream_id = batch.sparkSession.read.schema("id string").json(f"{checkpoint}/metadata").first()["id"]
-        place = f"query={stream_id}/batch={number}"
+        place = f"query={_stream_id(batch.sparkSession, checkpoint)}/batch={number}"
         batch.write.mode("overwrite").parquet(f"{target}/{place}")
         done = handled_domains(batch)
         done.write.mode("overwrite").text(f"{state}/{place}")
@@ -90,6 +92,52 @@ def append_new_with_state(
     query.awaitTermination()
 
 
+def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+    return spark.read.schema("id string").json(f"{checkpoint}/metadata").first()["id"]
+
+
+def append_unhandled(pages: DataFrame, target: str, state: str, checkpoint: str) -> None:
+    """Write the contacts of pages whose domain no earlier batch handled, and add their domains to the state.
+
+    ``pages`` is a stream of pages. Each batch is held against the state as it
+    is then, so a file that comes late with a domain of an earlier batch adds
+    nothing, in this stream or in one with another checkpoint; pages of one
+    domain in one batch all count. Rows and domains of a batch are a run that
+    one file publishes (``sinks.runs``): a batch that broke off is not read, a
+    published one that is run again writes nothing. ``state`` may hold lines
+    and runs of :func:`~hailbook.plans.run.run_sites` as well. Streams over one
+    state must not run at the same time. Read the rows by :func:`unhandled_rows`.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        run = f"{_stream_id(spark, checkpoint)}-{number}"
+        named = published(spark, state)
+        if named is not None and not named.filter(F.col("run") == run).isEmpty():
+            return
+        todo = unprocessed_pages(batch, load_processed_domains(spark, state))
+        page_contact_rows(todo).write.mode("overwrite").parquet(f"{target}/run={run}")
+        # the rows of the batch tell its domains, so pages are parsed once
+        written = spark.read.parquet(f"{target}/run={run}")
+        handled_domains(written).write.mode("overwrite").text(f"{state}/run={run}")
+        publish(spark.createDataFrame([(run,)], "value string"), state)
+
+    query = (
+        pages.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+
+
+def unhandled_rows(spark: SparkSession, target: str, state: str) -> DataFrame:
+    """Contact rows of the published batches below ``target``, with the ``run`` of each."""
+    rows = spark.read.parquet(target)
+    named = published(spark, state)
+    return rows.limit(0) if named is None else rows.join(named, "run", "left_semi").select(*rows.columns)
+
+
 def handled_domains(batch: DataFrame) -> DataFrame:
     """Distinct domains of a batch as lines."""
     found = batch.select(normalize_domain("url").alias("value"))

@@ -347,6 +347,67 @@ def test_stream_splits_hot_domains_and_keeps_a_state(spark, tmp_path):
     assert unprocessed_pages(frame, handled).count() == 10
 
 
+def test_hot_keys_are_counted_without_a_shuffle_of_rows(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(skew, "staged", lambda df, name: kept.append(df) or df)
+    skew.hot_keys(spark.range(1000).withColumnRenamed("id", "key"), "key", 9)
+    plan = kept[0]._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(key_hash" not in plan and "hashpartitioning(key" not in plan
+    assert plan.count("Range") == 1 and "approx_top_k_accumulate" in plan.lower().replace("approxtopk", "approx_top_k_")
+
+
+def test_a_key_above_the_limit_is_never_left_out(spark):
+    """Far more keys than a sketch tracks; the hot ones are spread over all tasks."""
+    rows = spark.range(0, 3_000_000, numPartitions=6).select(
+        F.when(F.col("id") % 10 == 0, F.col("id") % 3000 / 10).otherwise(F.col("id")).cast("long").alias("key")
+    )
+    hot = skew.hot_keys(rows, "key", 500)
+    exact = rows.groupBy(F.xxhash64("key").alias("key_hash")).count().filter("count > 500")
+    assert exact.count() == 300 and exact.join(hot, "key_hash", "left_anti").isEmpty()
+
+
+def test_a_stream_learns_of_the_domains_it_wrote(spark, tmp_path, monkeypatch):
+    """Late files, a restart, a new checkpoint and a break between rows and state: each domain counts in one batch."""
+    folder, target, state, check = (str(tmp_path / n) for n in ("in", "out", "state", "check"))
+    columns = "page_id long, url string, html string"
+    page = lambda i, host: (i, f"https://{host}.com/{i}", f"m{i}@h.com")
+
+    def arrive(*rows, name=check):
+        if rows:
+            spark.createDataFrame(list(rows), columns).coalesce(1).write.mode("append").parquet(folder)
+        incremental.append_unhandled(stream_pages(spark, folder), target, state, name)
+
+    def found():
+        return sorted(r.page_id for r in incremental.unhandled_rows(spark, target, state).collect())
+
+    spark.createDataFrame([("old.com",)], "value string").coalesce(1).write.text(state)
+    arrive(page(1, "a"), page(2, "a"), page(3, "old"), page(4, "b"))
+    assert found() == [1, 2, 4]
+    arrive(page(5, "a"), page(6, "c"))  # restart; a late page of a handled domain
+    assert found() == [1, 2, 4, 6]
+    arrive()
+    arrive(name=f"{check}-new")  # reads all files again
+    assert found() == [1, 2, 4, 6]
+    real, broken = incremental.publish, []
+
+    def fails(run, path):
+        if not broken:
+            broken.append(run)
+            raise RuntimeError("machine lost")
+        real(run, path)
+
+    monkeypatch.setattr(incremental, "publish", fails)
+    with pytest.raises(Exception, match="machine lost"):
+        arrive(page(7, "d"), page(8, "d"))
+    assert found() == [1, 2, 4, 6]
+    arrive(name=f"{check}-third")  # another checkpoint after the break
+    assert found() == [1, 2, 4, 6, 7, 8]
+    arrive()  # the broken batch of the first one, run again
+    assert found() == [1, 2, 4, 6, 7, 8]
+    domains = sorted(r[0] for r in load_processed_domains(spark, state).collect())
+    assert domains == ["a.com", "b.com", "c.com", "d.com", "old.com"]
+
+
 def test_every_query_has_sql():
     from hailbook.oracles import ORACLES
     from hailbook.queries import QUERIES
