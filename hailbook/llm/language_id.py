@@ -145,23 +145,26 @@ def labelled_sample(docs: DataFrame, key: str, text: str, lang: str, slots: int
     """At most ``slots`` pieces per language, out of rows that are not held out.
 
     Each slot takes the row with the least hash among its rows, combined before
-    the shuffle; the piece starts at a hashed place.
+    the shuffle; the piece starts at a hashed place. Key and text are hashed
+    together, so rows of one key or of none spread over the slots, rows equal in
+    both give one piece, and of equal hashes the least piece counts: the sample
+    is the same however the rows are spread.
     """
-    pick = F.xxhash64(F.col(key), F.lit("sample"))
+    pick = F.xxhash64(F.col(key), F.col(text), F.lit("sample"))
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~F.coalesce(held_out(F.col(key)), F.lit(False)))
     # of a frequent language only as many rows go on as fill the slots some 50 times over
     counts = rows.groupBy(F.col(lang).alias("lang")).count().filter(F.col("count") > 50 * slots).collect()
     if counts:
         share = F.create_map(*[F.lit(v) for row in counts for v in (row["lang"], 50 * slots / row["count"])])
-        draw = F.pmod(F.xxhash64(F.col(key), F.lit("draw")), F.lit(1 << 30)) / (1 << 30)
+        draw = F.pmod(F.xxhash64(F.col(key), F.col(text), F.lit("draw")), F.lit(1 << 30)) / (1 << 30)
         rows = rows.filter(draw < F.coalesce(F.element_at(share, F.col(lang)), F.lit(1.0)))
     start = F.pmod(pick, F.greatest(F.length(text) - PIECE, F.lit(0)) + 1).cast("int") + 1
     chosen = rows.select(
         F.col(lang).alias("lang"), pick.alias("pick"), F.pmod(pick, F.lit(slots)).alias("slot"),
         F.substring(F.col(text), start, F.lit(PIECE)).alias("piece"),
     )
-    least = chosen.groupBy("lang", "slot").agg(F.min_by("piece", "pick").alias("piece"))
-    return least.orderBy("lang", "slot").collect()
+    least = chosen.groupBy("lang", "slot").agg(F.min(F.struct("pick", "piece")).alias("least"))
+    return least.select("lang", "slot", "least.piece").orderBy("lang", "slot").collect()
 
 
 def _identified(rows: DataFrame, net: Network | None) -> DataFrame:

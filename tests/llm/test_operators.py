@@ -203,6 +203,39 @@ def test_held_out_labels_do_not_matter(spark):
     assert a == b
 
 
+def test_filters_equal_a_plain_convolution():
+    r = np.random.default_rng(3)
+    pieces = [bytes(r.integers(97, 123, 300).tolist()), b"1234 " * 60, b"ab" * 200]
+    net = L.train(pieces, ["x", "y", "z"], epochs=1)
+    x, _ = L.windows(np.frombuffer(b"".join(pieces) + b"short", np.uint8), np.cumsum([0, *map(len, pieces), 5]))
+    want = []
+    for row in x.tolist():
+        out = []
+        for w, table in net.tables.items():
+            for f in range(L.FILTERS):
+                out.append(max(sum(float(table[j, row[at + j], f]) for j in range(w)) for at in range(L.WINDOW - w + 1)))
+        want.append([max(v + float(b), 0.0) for v, b in zip(out, net.bias, strict=True)])
+    assert np.allclose(net.pooled(x), want, atol=1e-4)
+
+
+def test_language_sample_is_one_whatever_the_order_of_rows(spark):
+    """Null and repeated keys, equal rows, clashing columns and a long text."""
+    r = random.Random(4)
+    word = lambda letters: "".join(r.choice(letters) for _ in range(5))
+    rows = [(None if n % 3 else n % 6, " ".join(word("abc" if n % 2 else "xyz") for _ in range(40)), "de" if n % 2 else "en") for n in range(200)]
+    rows += rows[:40] + [(5, "abc " * 500_000, "de"), (6, None, "en"), (8, "", "en")]
+    schema = TEXTS + ", lang string, lang_pred int, score string, c0 int, letters int"
+    full = [(*row, 1, "s", 2, 3) for row in rows]
+    once, again = spark.createDataFrame(full, schema).repartition(7), spark.createDataFrame(full[::-1], schema).coalesce(1)
+    a, b = (sorted(map(tuple, L.labelled_sample(d, "doc_id", "text", "lang", 16))) for d in (once, again))
+    assert a == b and sum(row[0] == "de" for row in a) > 10 and sum(row[0] == "en" for row in a) > 10
+    net = L.learn(once)
+    got = L.identify(again, net)
+    assert got.count() == len(rows) and got.filter("score < 0 or score > 1").isEmpty()
+    assert got.filter("lang_pred = 'und'").count() == 2
+    assert L.accepted(again, net).columns == again.columns
+
+
 def test_language_without_labels_or_rows(spark):
     docs = spark.createDataFrame([(1, "some text", None)], TEXTS + ", lang string")
     assert L.learn(docs) is None
