@@ -6,9 +6,13 @@ no other document has come first and cannot be shared, so most documents have
 no prefix left and go. The other orders are hash orders: a candidate must pass
 all of them before its sets are compared.
 
+Where a token stands in a set bounds the size of the partners it may lead to.
+Tokens whose sets cannot reach each other's sizes are left out, so pages of one
+template with contents of their own are no candidates of each other.
+
 Candidates of a token are not all paired. Sets that are equal become one. Each
-set belongs to the cluster of the least document it shares a prefix token with,
-and is compared with that one first; only those that are not linked to it are
+set belongs to the cluster of the least hub of its prefix tokens,
+and is compared with that hub first; only those that are not linked to it are
 compared with the rest of the cluster, in blocks, and sets that share a prefix
 token over the borders of clusters are compared in pairs. That is exact: links
 within what is linked already change no component.
@@ -269,6 +273,30 @@ def block_links(table: pa.Table, percent: int = PERCENT) -> pa.Table:
     return pa.table({"x": pa.array([a for a, _ in out], pa.int64()), "y": pa.array([b for _, b in out], pa.int64())})
 
 
+def live_posts(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n, token, reach, hub) of the prefix tokens by which a set may have a partner.
+
+    sets: (doc_id, n, posted, left_over), the latter being the number of tokens
+    that other documents have. If the rarest token of a common part is number
+    ``p`` of a set of ``n``, the common part has at most ``n - p`` tokens, so no
+    partner is larger than ``reach``. The smaller set of a pair reaches the
+    larger one, hence a size of at least its own: a token no set of which does
+    that brings nobody together, and sets that reach none of the others' sizes
+    leave it too. ``hub`` is the least set that reaches its own size.
+    """
+    posts = sets.select("doc_id", "n", "left_over", F.posexplode("posted").alias("place", "token"))
+    reach = F.expr(f"{100 + percent} * (left_over - place) div {percent}") - F.col("n")
+    posts = posts.select("doc_id", "n", "token", reach.alias("reach"))
+    small = F.col("reach") >= F.col("n")
+    hubs = posts.groupBy("token").agg(
+        F.min(F.when(small, F.col("doc_id"))).alias("hub"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"),
+        F.min(F.when(small, F.col("n"))).alias("least"), F.max(F.when(small, F.col("n"))).alias("most"),
+    )
+    hubs = hubs.filter("hub is not null and first < last").drop("first", "last")
+    shared = join_groups(posts, hubs, "token", F.xxhash64("token"))
+    return shared.filter(f"least <= reach and 100 * most >= {percent} * n").drop("least", "most")
+
+
 def within_clusters(members: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links of the members that are not linked to their hub with any other member of the cluster.
 
@@ -313,17 +341,20 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
     heads = table.filter("posted is not null").join(
         classes.select("signature", "n", F.col("rep").alias("doc_id")), ["signature", "n", "doc_id"], "left_semi"
     )
-    sets = staged(heads.dropDuplicates(["doc_id", "signature"]).select("doc_id", "n", "posted", "tokens", "limits"), "heads")
-    posts = sets.select("doc_id", F.explode("posted").alias("token"))
-    hubs = posts.groupBy("token").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).filter("hub < last").drop("last")
-    shared = join_groups(posts, hubs, "token", F.xxhash64("token"))
+    left_over = (F.octet_length("tokens") / 8).cast("long").alias("left_over")
+    sets = staged(
+        heads.dropDuplicates(["doc_id", "signature"]).select("doc_id", "n", "posted", "tokens", "limits", left_over), "heads"
+    )
+    shared = live_posts(sets, percent)
     labels = staged(shared.groupBy("doc_id").agg(F.min("hub").alias("label")), "labels")
-    labelled = staged(shared.select("doc_id", "token").join(labels, "doc_id"), "labelled")
+    labelled = staged(shared.select("doc_id", "n", "token", "reach").join(labels, "doc_id"), "labelled")
     borders = labelled.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select("token")
     across = labelled.join(borders, "token", "left_semi")
-    left = across.select("token", F.col("doc_id").alias("x"), F.col("label").alias("label_x"))
-    right = across.select("token", F.col("doc_id").alias("y"), F.col("label").alias("label_y"))
-    pairs = left.join(right, "token").filter("label_x < label_y").select("x", "y")
+    left, right = (
+        across.select("token", F.col("doc_id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("label", "n", "reach")])
+        for side in "xy"
+    )
+    pairs = left.join(right, "token").filter("label_x < label_y and n_x <= reach_y and n_y <= reach_x").select("x", "y")
     to_hub = labels.filter("doc_id != label").select(F.col("doc_id").alias("x"), F.col("label").alias("y"))
     active = sets.join(labels, "doc_id").drop("posted")
     active = staged(active, "active")

@@ -65,3 +65,22 @@ def test_components_of_a_long_path(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 100), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert set(got.values()) == {0, 100} and len(got) == 43
+
+
+def template_pages(seed, pages, own=(28, 28), line=120):
+    r = random.Random(seed)
+    frame = [f"t{i}" for i in range(line)]
+    return [(n, " ".join(frame + [f"p{n}_{i}" for i in range(r.randint(*own))])) for n in range(pages)]
+
+
+@pytest.mark.parametrize("own", [(28, 28), (10, 40), (0, 24)])
+def test_pages_of_one_template_equal_brute_force(spark, own):
+    docs = template_pages(5, 70, own)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(map(tuple, N.ngram_join(frame).collect())) == brute(docs)
+
+
+def test_near_misses_of_one_template_are_no_candidates(spark):
+    frame = spark.createDataFrame(template_pages(6, 60), "doc_id long, text string")
+    sets = N.described_sets(frame).selectExpr("*", "octet_length(tokens) div 8 as left_over")
+    assert sets.filter("posted is not null").count() == 60 and N.live_posts(sets).count() == 0
