@@ -279,12 +279,42 @@ def test_each_view_teaches_the_other():
     rng = np.random.default_rng(3)
     y = (rng.random(400) < 0.5).astype(float)
     views = [np.stack([y * 4 + rng.normal(size=400), rng.normal(size=400)], axis=1) for _ in range(2)]
-    model = Q.CoTrained(views[0][:40], views[1][:40], y[:40], (views[0][40:], views[1][40:]))
+    label = np.where(np.arange(400) < 40, y, -1).astype(int)
+    model = Q.CoTrained(lambda measure: measure(*views, label, np.arange(400) % 4 == 3), (2, 2))
     assert min(model.added) > 0
     p = model.scores(views[0][40:], views[1][40:])
     assert ((p[:, 2] > 0.5) == (y[40:] > 0.5)).mean() > 0.95
 
 
+def test_moments_give_the_discriminant_of_the_rows():
+    rng = np.random.default_rng(4)
+    y = (np.arange(300) % 3 == 0).astype(int)
+    x = rng.normal(size=(300, 3)) + y[:, None] * [2, 0, -1]
+    parts = sum(Q.moments(x[i : i + 77], y[i : i + 77]) for i in range(0, 300, 77))
+    model = Q.Discriminant(parts, 3)
+    mean = np.array([x[y == c].mean(0) for c in (0, 1)])
+    rest = x - mean[y]
+    within = rest.T @ rest / 300
+    scale = np.sqrt(np.diag(within) + Q.FLOOR**2)
+    w = np.linalg.solve(within + Q.RIDGE * np.diag(scale**2), mean[1] - mean[0])
+    assert np.allclose(model.w, w) and np.isclose(model.b, np.log(100 / 200) - w @ mean.sum(0) / 2)
+    none = Q.CoTrained(lambda measure: measure(x, x, np.zeros(300, int), y == 1), (3, 3))
+    assert not none.labelled
+
+
+def test_quality_of_null_keys_repeated_rows_and_long_texts(spark):
+    r = random.Random(8)
+    good = ["river", "stone", "went", "over"]
+    rows = [(n % 40, " ".join(r.choice(good if n % 2 else ["x&&&", "y%%%"]) for _ in range(30)), "s", "en", 100, "x", 1) for n in range(200)]
+    rows += [(None, "river stone went over " * 7, "s", "en", 150, "x", 1)] * 50 + [(500, "river " * 300_000, None, "en", 10**9, "x", 2)]
+    docs = spark.createDataFrame(rows, TEXTS + ", source string, lang string, n_chars long, content string, label int")
+    known = spark.createDataFrame([(n, n % 2) for n in range(32)] + [(3, 0), (None, 1), (5, None)], "doc_id long, quality int")
+    once = sorted(map(str, Q.classify(docs, known).select("doc_id", "kept").collect()))
+    again = sorted(map(str, Q.classify(docs.repartition(9), known).select("doc_id", "kept").collect()))
+    assert once == again and len(once) == len(rows)
+    assert sum("doc_id=None, kept=True" in x for x in once) == 50
+
+
 # exact dedup, licences, token counts -------------------------------------------
 
 
