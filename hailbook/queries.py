@@ -458,7 +458,8 @@ def incremental_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = sites.domains(done.filter(urls.normalize_domain("value").endswith(".org")))
     target = shared_folder(spark, "stream")
     for _ in range(2):
-        stream = stream_pages(spark, sf_dir, "pages.parquet", PAGES)
+        # the table may be a file or a folder of files; a stream takes a file only by a pattern
+        stream = stream_pages(spark, f"{sf_dir}/pages.parque[t]", schema=PAGES)
         rows = page_contact_rows(unprocessed_pages(stream, done))
         append_new(rows, f"{target}/rows", f"{target}/checkpoint")
     rows = spark.read.parquet(f"{target}/rows")

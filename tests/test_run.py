@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from hailbook.operators import crawl, pages, report, sites, skew
 from hailbook.plans.run import plan_run, run_sites
+from hailbook.queries import QUERIES
 from hailbook.schema import RESPONSES
 from hailbook.sinks.lines import append_processed_domains, save_cleaned_sites, save_lines
 from hailbook.sinks.results import append_results
@@ -324,6 +325,18 @@ def test_stream_equals_batch_and_adds_nothing_twice(spark, tmp_path):
     assert found.count() == 6
 
 
+@pytest.mark.parametrize("files", [0, 2])
+def test_the_streamed_table_may_be_a_file_or_a_folder_of_files(spark, tmp_path, files):
+    rows = [(i, f"https://h{i}.{'org' if i % 3 else 'com'}/", f"m{i}@h.com") for i in range(6)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    if files:
+        frame.repartition(files).write.parquet(f"{tmp_path}/pages.parquet")
+    else:
+        frame.toPandas().to_parquet(f"{tmp_path}/pages.parquet")
+    found = QUERIES["incremental_pages"](spark, str(tmp_path)).select("page_id", "emails").collect()
+    assert sorted(map(tuple, found)) == [(0, "m0@h.com"), (3, "m3@h.com")]
+
+
 def stream_rows(frame, done):
     return unprocessed_pages(frame, done).count()
 
@@ -356,6 +369,12 @@ def test_hot_keys_are_counted_without_a_shuffle_of_rows(spark, monkeypatch):
     assert plan.count("Range") == 1 and "approx_top_k_accumulate" in plan.lower().replace("approxtopk", "approx_top_k_")
 
 
+def test_no_rows_have_no_hot_keys(spark):
+    none = spark.range(9).filter("id < 0").select(F.col("id").alias("key"))
+    assert skew.hot_keys(none, "key", 9).collect() == []
+    assert skew.hot_keys(spark.range(9).repartition(3).filter(F.rand(0) < 0).select(F.col("id").alias("key")), "key").collect() == []
+
+
 def test_a_key_above_the_limit_is_never_left_out(spark):
     """Far more keys than a sketch tracks; the hot ones are spread over all tasks."""
     rows = spark.range(0, 3_000_000, numPartitions=6).select(
