@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from hailbook.sources.responses import read_pages
 
 TABLES = ("orders", "lineitem", "region", "pages", "documents")
+PAGES_PER_TASK = 5_000  # of the pages table
+SEEDS_PER_TASK = 100_000  # rows of orders or lineitem that a page is built of
 
 CONTACT_PAGES = """
 select site_id, pos,
@@ -140,26 +142,37 @@ VIEWS = {
 }
 
 
+def _tasks(spark: SparkSession, rows: int, rows_per_task: int) -> int:
+    """Tasks that rows are spread over: they grow with the rows, so that one task's share does not."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // rows_per_task))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table. The pages are one small file, so its rows are spread over all cores."""
     path = f"{sf_dir}/{name}.parquet"
     if name == "pages":
-        return read_pages(spark, path).repartition(spark.sparkContext.defaultParallelism)
+        pages = read_pages(spark, path)
+        return pages.repartition(_tasks(spark, pages.count(), PAGES_PER_TASK))
     return spark.read.parquet(path)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived view over the tables in ``sf_dir``.
 
-    The page views are far larger than the tables they come from, so their rows
-    are spread over all cores, as the files of a real page table would be.
+    The page views are far larger than the tables they come from, so the rows
+    of these are spread over all cores, while they are narrow: html is built
+    behind the shuffle. Counts come from the files' footers.
     """
     sql = VIEWS[name]
     used = {t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in sql}
-    rows = spark.sql(sql, **used)
-    if "html" in rows.columns:
-        return rows.repartition(spark.sparkContext.defaultParallelism)
-    return rows
+    if "lineitem" in used:
+        orders, items = used["orders"], used["lineitem"]
+        # orders in any way, items by the keys they are grouped by next
+        used["orders"] = orders.repartition(_tasks(spark, orders.count(), SEEDS_PER_TASK))
+        used["lineitem"] = items.repartition(
+            _tasks(spark, items.count(), SEEDS_PER_TASK), "l_orderkey", "l_linenumber"
+        )
+    return spark.sql(sql, **used)
 
 
 def view_sql(name: str) -> str:
