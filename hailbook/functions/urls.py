@@ -30,7 +30,12 @@ NOT_A_PAGE = r"^(?:mailto:|tel:|javascript:|#)"
 
 def _drop_unsafe(url: Column) -> Column:
     """URL parsers ignore tabs and line breaks wherever they stand."""
-    return F.translate(url, "\t\r\n", "")
+    return let(
+        url,
+        lambda u: F.when(
+            u.contains("\t") | u.contains("\r") | u.contains("\n"), F.translate(u, "\t\r\n", "")
+        ).otherwise(u),
+    )
 
 
 def _part(url: Column, group: int) -> Column:
@@ -84,8 +89,7 @@ def is_relative_url(url: StrCol) -> Column:
 
 def is_page_link(href: StrCol) -> Column:
     """Non-empty and not a mail, phone, script or same-page link."""
-    href = strip(href)
-    return (href != "") & ~F.lower(href).rlike(NOT_A_PAGE)
+    return let(strip(href), lambda h: (h != "") & ~F.lower(h).rlike(NOT_A_PAGE))
 
 
 def is_same_domain(left: StrCol, right: StrCol) -> Column:
@@ -98,18 +102,27 @@ def has_contact_keyword(url: StrCol) -> Column:
 
 def url_parts(url: Column) -> Column:
     """Struct of scheme, netloc, path, params, query and fragment."""
-    cleaned = _drop_unsafe(F.regexp_replace(url, r"^[\x00-\x20]+", ""))
-    full_path = _part(cleaned, 3)
-    return F.struct(
-        F.lower(_part(cleaned, 1)).alias("scheme"),
-        _part(cleaned, 2).alias("netloc"),
-        F.regexp_replace(full_path, LAST_PARAMS, "").alias("path"),
-        F.substring(F.regexp_extract(full_path, "(" + LAST_PARAMS + ")", 1), 2, 1 << 30).alias(
-            "params"
-        ),
-        _part(cleaned, 4).alias("query"),
-        _part(cleaned, 5).alias("fragment"),
-    )
+
+    def of_path(u: Column, full_path: Column) -> Column:
+        has_params = full_path.contains(";")
+        return F.struct(
+            F.lower(_part(u, 1)).alias("scheme"),
+            _part(u, 2).alias("netloc"),
+            F.when(has_params, F.regexp_replace(full_path, LAST_PARAMS, ""))
+            .otherwise(full_path)
+            .alias("path"),
+            F.when(
+                has_params,
+                F.substring(F.regexp_extract(full_path, "(" + LAST_PARAMS + ")", 1), 2, 1 << 30),
+            )
+            .otherwise(F.lit(""))
+            .alias("params"),
+            _part(u, 4).alias("query"),
+            _part(u, 5).alias("fragment"),
+        )
+
+    cleaned = _drop_unsafe(F.regexp_replace(url, r"\A[\x00-\x20]+", ""))
+    return let(cleaned, lambda u: let(_part(u, 3), lambda full_path: of_path(u, full_path)))
 
 
 def _optional(mark: str, value: Column) -> Column:

@@ -85,13 +85,16 @@ def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.entry_pages(_todo(spark, sf_dir), pages.page_keys(accepted))
 
 
-def _page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(url, pos, href)`` of the pages table and of the derived pages."""
+def _hrefs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(url, hrefs)`` of the pages table and of the derived pages."""
     own = table(spark, sf_dir, "pages").select("url", "html")
     derived = _contact_pages(spark, sf_dir).select(F.concat("root", "path").alias("url"), "html")
-    return own.union(derived).select(
-        "url", F.posexplode(html.page_links("html")).alias("pos", "href")
-    )
+    return own.union(derived).select("url", html.page_links("html").alias("hrefs"))
+
+
+def _page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(url, pos, href)`` of the pages table and of the derived pages."""
+    return _hrefs(spark, sf_dir).select("url", F.posexplode("hrefs").alias("pos", "href"))
 
 
 # --- functions on values ------------------------------------------------------
@@ -254,14 +257,17 @@ def absolute_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def same_domain_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    targets = absolute_links(spark, sf_dir)
-    return targets.filter(urls.is_same_domain("url", "target"))
+    # Filtered within the page: a filter of the rows would be moved below the projection and resolve each link twice.
+    links = F.transform(
+        "hrefs",
+        lambda href, pos: F.struct(pos.alias("pos"), urls.absolute_url("url", href).alias("target")),
+    )
+    own = F.filter(links, lambda link: urls.is_same_domain("url", link["target"]))
+    return _hrefs(spark, sf_dir).select("url", F.inline(own))
 
 
 def _internal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "pages").select("url", "html")
-    derived = _contact_pages(spark, sf_dir).select(F.concat("root", "path").alias("url"), "html")
-    links = own.union(derived).select("url", html.page_links("html").alias("hrefs"))
+    links = _hrefs(spark, sf_dir)
     found = urls.internal_links("url", "hrefs")
     return links.select("url", F.posexplode(found).alias("pos", "link"))
 

@@ -3,9 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from hailbook import session
+from hailbook import derived, session
 from hailbook.operators import key_filter, pages, sites
 from hailbook.plans.run import plan_run
+from hailbook.queries import QUERIES
 from hailbook.sinks.pages import write_page_store
 from hailbook.schema import RESPONSES
 from hailbook.sources.responses import read_page_store
@@ -88,3 +89,40 @@ def test_a_store_gives_the_rows_of_plain_files_without_moving_html(spark, no_bro
         assert moved == {name: [] for name in moved}
     frame = pages.wanted_pages(pages.accepted_pages(stored), todo.select(F.col("site").alias("requested_url")))
     assert "Bucketed: true" in frame._jdf.queryExecution().executedPlan().toString()
+
+
+
+@pytest.fixture
+def tables(spark, tmp_path):
+    """Orders, items of them and one web page, as the derived views read them."""
+    orders = spark.range(1, 41).select(F.col("id").alias("o_orderkey"), (F.col("id") * 7).alias("o_custkey"))
+    items = spark.range(120).select(
+        (F.col("id") % 40 + 1).alias("l_orderkey"), (F.col("id") % 6 + 1).cast("int").alias("l_linenumber"),
+        F.col("id").alias("l_partkey"), (F.col("id") + 3).alias("l_suppkey"),
+    )
+    web = spark.createDataFrame(
+        [(1, "https://a.com/x", "<a href='/y'>y</a><a href='https://b.com/'>b</a><a href='//A.com/z'>z</a>")],
+        "page_id long, url string, html string",
+    )
+    regions = spark.createDataFrame([(0, "R")], "r_regionkey int, r_name string")
+    for name, rows in {"orders": orders, "lineitem": items, "pages": web, "region": regions}.items():
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+def test_page_views_move_narrow_rows_to_tasks_that_grow_with_them(spark, tables, monkeypatch):
+    """html is built behind the shuffle, which has more tasks for more rows."""
+    monkeypatch.setattr(derived, "SEEDS_PER_TASK", 9)
+    for name in ("contact_pages", "responses"):
+        plan = derived.view(spark, tables, name)._jdf.queryExecution().executedPlan().toString()
+        below = [part.split("FileScan")[0] for part in plan.split("Exchange")[1:]]  # what each exchange reads
+        assert below and not any("DOCTYPE" in part for part in below)
+        assert ", 14), REPARTITION_BY_NUM" in plan  # 120 items by 9
+
+
+def test_links_of_a_domain_are_resolved_once(spark, tables):
+    """No filter of rows, which would repeat the resolution below the projection."""
+    found = QUERIES["same_domain_links"](spark, tables)
+    assert "\n+- Filter" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and ":- Filter" not in plan
+    rows = found.filter("url = 'https://a.com/x'").select("pos", "target").collect()
+    assert sorted(map(tuple, rows)) == [(0, "https://a.com/y"), (2, "https://A.com/z")]
