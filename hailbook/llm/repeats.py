@@ -487,14 +487,17 @@ def repeats(docs: DataFrame, rule: Rule, finish: Callable[[Block, np.ndarray], p
     """
     blocked, total = in_blocks(docs.withColumn(key, F.col(key).cast("long")), key, text, block_bytes, LEAST)
     bits = max(40, min(60, int(total).bit_length() + 8))
-    rule = Rule(rule.size, rule.gram, rule.units, rule.order, bits, max(LEAST, -(-total // (2 * block_bytes))), rule.hot)
+    rule = Rule(rule.size, rule.gram, rule.units, rule.order, bits, max(LEAST, -(-total // block_bytes)), rule.hot)
     texts = blocked.groupBy("block")
 
     def number(table: pa.Table) -> int:
         return table["block"][0].as_py()
 
     def first(table: pa.Table) -> pa.Table:
-        return messages(Block(rule, table).ask_seen(number(table)))
+        try:
+            return messages(Block(rule, table).ask_seen(number(table)))
+        finally:
+            release()
 
     def second(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -528,8 +531,14 @@ def repeats(docs: DataFrame, rule: Rule, finish: Callable[[Block, np.ndarray], p
         return texts.cogroup(told.groupBy("block")).applyInArrow(run, out)
 
     def by_bucket(asked: DataFrame, answer: Callable) -> DataFrame:
+        def run(table: pa.Table) -> pa.Table:
+            try:
+                return messages([*answer(table), *echo(table)])
+            finally:
+                release()
+
         # as many tasks as named: buckets have few bytes and would be merged, but take work
-        return asked.repartition(2 * rule.buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: messages([*answer(t), *echo(t)]), MESSAGE)
+        return asked.repartition(2 * rule.buckets, "bucket").groupBy("bucket").applyInArrow(run, MESSAGE)
 
     told = by_bucket(texts.applyInArrow(first, MESSAGE), lambda t: answer_seen(rule, t))
     told = by_bucket(with_texts(told, second, MESSAGE), answer_entries)
