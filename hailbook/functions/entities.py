@@ -57,7 +57,7 @@ def _old_names() -> str:
 
 
 def _bind(value: str, name: str, body: str) -> str:
-    return f"transform(array({value}), {name} -> {body})[0]"
+    return f"aggregate(cast(array() as array<int>), {value}, (bound, _) -> bound, {name} -> {body})"
 
 
 def _named(name: str) -> str:

@@ -29,9 +29,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind ``value`` once and use it many times in ``body``.
 
     Expressions inside a lambda get no common-subexpression elimination, so a
-    value read several times per element is bound as a lambda variable.
+    value read several times per element is bound as a lambda variable: the
+    start of an aggregate over no elements, whose last step is ``body``. That
+    makes no array, unlike a transform of an array of one.
     """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    none = F.array().cast("array<int>")
+    return F.aggregate(none, value, lambda bound, _: bound, body)
 
 
 def strip(value: StrCol) -> Column:

@@ -27,6 +27,26 @@ LAST_PARAMS = r";[^/]*\z"
 PLAIN_FOLDER = r"^https?://[^/?#\s]+(?:/[^/?#;.\s][^/?#;\s]*)*/\z"
 NOT_A_PAGE = r"^(?:mailto:|tel:|javascript:|#)"
 
+# References that a base only stands in front of: no dot segments, none of the
+# marks without anything behind them, which get lost, no tabs or line breaks.
+_CHARS = r"[^/?#;\t\r\n]"
+_NO_DOTS = r"(?!\.\.?(?:[/?#;]|\z))"
+_PARAMS = rf"(?:;{_CHARS}++)*+"
+_REST = r"(?:\?[^#\t\r\n]++)?+(?:#[^\t\r\n]++)?+\z"
+PLAIN_ROOTED = rf"\A(?!//)(?:/{_NO_DOTS}{_CHARS}*+{_PARAMS})++{_REST}"
+PLAIN_NETLOC = rf"\A//[^/?#\t\r\n]++(?:/{_CHARS}*+{_PARAMS})*+{_REST}"
+# A colon in the first segment may end a scheme; inner segments are not empty.
+PLAIN_RELATIVE = (
+    rf"\A{_NO_DOTS}[^/?#:;\x00-\x20][^/?#:;\t\r\n]*+{_PARAMS}"
+    rf"(?:/{_NO_DOTS}{_CHARS}++{_PARAMS})*+/?+{_REST}"
+)
+PLAIN_FRAGMENT = r"\A#[^\t\r\n]*+\z"
+FOREIGN_SCHEME = r"(?i)\A(?!https?:)[a-z][a-z0-9+.-]*+:"
+# The path of a base whose folder has no dot or empty segments.
+PLAIN_PATH = r"\A(?:/(?:(?!\.\.?/)[^/]++/)*+[^/]*+)?+\z"
+# Group 1 is the address of a URL without parameters and brackets.
+PLAIN_ADDRESS = r"\A(https?://[^?#;\[\]\t\r\n]*+)(?:[?#]|\z)"
+
 
 def _drop_unsafe(url: Column) -> Column:
     """URL parsers ignore tabs and line breaks wherever they stand."""
@@ -49,7 +69,7 @@ def _bad_brackets(netloc: Column) -> Column:
 # Optional scheme, then a host in which brackets are either both there or not.
 _HOST = (
     r"(?is)\A(?:https?://)?+"
-    r"(?:(?=[^/?#]*\[)(?=[^/?#]*\])|(?![^/?#]*[\[\]]))([^/?#]*)"
+    r"(?:(?=[^/?#\[\]]*+(?:[/?#]|\z))|(?=[^/?#]*\[)(?=[^/?#]*\]))([^/?#]*)"
 )
 
 
@@ -92,8 +112,13 @@ def is_page_link(href: StrCol) -> Column:
     return let(strip(href), lambda h: (h != "") & ~F.lower(h).rlike(NOT_A_PAGE))
 
 
+def is_of_domain(url: StrCol, domain: Column) -> Column:
+    """For many URLs against one ``domain``, which is normalised once."""
+    return normalize_domain(url) == domain
+
+
 def is_same_domain(left: StrCol, right: StrCol) -> Column:
-    return normalize_domain(left) == normalize_domain(right)
+    return is_of_domain(right, normalize_domain(left))
 
 
 def has_contact_keyword(url: StrCol) -> Column:
@@ -155,21 +180,26 @@ def _is_dot(segment: Column) -> Column:
     return segment.isin(".", "..")
 
 
-def _without_dots(segments: Column) -> Column:
-    """RFC 3986 dot-segment removal over an array of path segments."""
+def _joined_without_dots(segments: Column) -> Column:
+    """RFC 3986 dot-segment removal over an array of path segments, which come back joined.
+
+    What is kept is a string with a slash in front of every segment: appending
+    to an array in each step takes several times as long.
+    """
+
+    def parent(kept: Column) -> Column:
+        last = F.length(F.substring_index(kept, "/", -1))
+        return F.substring(kept, F.lit(1), F.length(kept) - last - 1)
+
     kept = F.aggregate(
         segments,
-        F.array().cast("array<string>"),
-        lambda acc, s: F.when(s == ".", acc)
-        .when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
-        .otherwise(F.concat(acc, F.array(s))),
+        F.lit(""),
+        lambda acc, s: F.when(s == ".", acc).when(s == "..", parent(acc)).otherwise(F.concat(acc, F.lit("/"), s)),
+    )
+    closed = F.when(_is_dot(F.element_at(segments, -1)), F.concat(kept, F.lit("/"))).otherwise(kept)
+    return F.when(F.exists(segments, _is_dot), F.substring(closed, 2, 1 << 30)).otherwise(
+        F.array_join(segments, "/")
     )
-    return F.when(
-        F.exists(segments, _is_dot),
-        F.when(
-            _is_dot(F.element_at(segments, -1)), F.concat(kept, F.array(F.lit("")))
-        ).otherwise(kept),
-    ).otherwise(segments)
 
 
 def _merge_path(base_path: Column, path: Column) -> Column:
@@ -192,8 +222,10 @@ def _merge_path(base_path: Column, path: Column) -> Column:
     segments = F.when(path.startswith("/"), own).otherwise(
         let(F.concat(base_segments, own), relative)
     )
-    joined = let(segments, lambda s: F.array_join(_without_dots(s), "/"))
-    return F.when(joined == "", F.lit("/")).otherwise(joined)
+    return let(
+        let(segments, _joined_without_dots),
+        lambda joined: F.when(joined == "", F.lit("/")).otherwise(joined),
+    )
 
 
 def resolve(base: Column, href: Column) -> Column:
@@ -241,20 +273,61 @@ def resolve(base: Column, href: Column) -> Column:
     return let(url_parts(href), against)
 
 
+def _base(url: Column) -> Column:
+    """What the references of one page share: the parts of its URL, and what plain references go behind.
+
+    ``root`` ends before the path, ``folder`` behind its last slash, ``page``
+    before the fragment. They only count when ``is_http``, which is never NULL.
+    """
+
+    def of_parts(parts: Column) -> Column:
+        root = F.concat(parts["scheme"], F.lit("://"), parts["netloc"])
+        folder = F.when(
+            parts["path"].rlike(PLAIN_PATH),
+            F.concat(root, F.lit("/"), F.regexp_replace(parts["path"], r"\A/|[^/]+\z", "")),
+        ).otherwise(
+            # All plain references get the same in front of them as this one.
+            let(resolve(parts, F.lit("x")), lambda u: F.substring(u, F.lit(1), F.length(u) - 1))
+        )
+        page = _assemble(*[parts[name] for name in ("scheme", "netloc", "path", "params", "query")], F.lit(""))
+        is_http = F.coalesce(parts["scheme"].isin("http", "https"), F.lit(False))
+        return F.struct(
+            parts.alias("parts"),
+            is_http.alias("is_http"),
+            root.alias("root"),
+            F.when(is_http, folder).alias("folder"),
+            page.alias("page"),
+        )
+
+    return let(url_parts(url), of_parts)
+
+
 def _absolute(base: Column, href: Column) -> Column:
+    """A stripped href joined to its :func:`_base`; only hrefs that are not plain are taken apart."""
+
+    def plain(pattern: str) -> Column:
+        return base["is_http"] & href.rlike(pattern)
+
     return (
         F.when(href == "", F.lit(""))
         .when(is_http_url(href), href)
-        .otherwise(resolve(base, href))
+        .when(plain(PLAIN_ROOTED), F.concat(base["root"], href))
+        .when(plain(PLAIN_RELATIVE), F.concat(base["folder"], href))
+        .when(plain(FOREIGN_SCHEME), href)
+        .when(plain(PLAIN_FRAGMENT), F.when(href == "#", base["page"]).otherwise(F.concat(base["page"], href)))
+        .when(plain(PLAIN_NETLOC), F.concat(base["parts"]["scheme"], F.lit(":"), href))
+        .otherwise(resolve(base["parts"], href))
     )
 
 
+def absolute_urls(base_url: StrCol, hrefs: StrCol) -> Column:
+    """:func:`absolute_url` of every href of one page; the base is taken apart once."""
+    return let(_base(col(base_url)), lambda base: F.transform(col(hrefs), lambda h: let(strip(h), lambda v: _absolute(base, v))))
+
+
 def absolute_url(base_url: StrCol, href: StrCol) -> Column:
     """An absolute http(s) href as it is, anything else joined to the base."""
-    return let(
-        F.struct(col(base_url).alias("base"), strip(href).alias("href")),
-        lambda v: let(url_parts(v["base"]), lambda base: _absolute(base, v["href"])),
-    )
+    return F.get(absolute_urls(base_url, F.array(col(href))), F.lit(0))
 
 
 def page_address(url: Column) -> Column:
@@ -266,7 +339,13 @@ def page_address(url: Column) -> Column:
             F.concat(p["scheme"], F.lit("://"), p["netloc"], p["path"]),
         ).otherwise(F.lit(""))
 
-    return let(url, lambda u: let(url_parts(u), address))
+    def of_url(u: Column) -> Column:
+        return let(
+            F.regexp_extract(u, PLAIN_ADDRESS, 1),
+            lambda found: F.when(found != "", found).otherwise(let(url_parts(u), address)),
+        )
+
+    return let(url, of_url)
 
 
 def internal_links(
@@ -278,15 +357,13 @@ def internal_links(
     def of_base(base: Column) -> Column:
         pages = F.transform(
             F.filter(F.transform(strings_or_empty(hrefs), strip), is_page_link),
-            lambda h: page_address(_absolute(base["parts"], h)),
+            lambda h: page_address(_absolute(base["base"], h)),
         )
-        own = F.filter(pages, lambda u: (u != "") & (normalize_domain(u) == base["domain"]))
-        return F.slice(F.array_distinct(own), 1, max_links)
+        own = F.filter(F.array_distinct(pages), lambda u: (u != "") & is_of_domain(u, base["domain"]))
+        return F.slice(own, 1, max_links)
 
     return let(
-        F.struct(
-            url_parts(base_url).alias("parts"), normalize_domain(base_url).alias("domain")
-        ),
+        F.struct(_base(base_url).alias("base"), normalize_domain(base_url).alias("domain")),
         of_base,
     )
 

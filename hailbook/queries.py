@@ -250,19 +250,21 @@ def link_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def absolute_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _page_links(spark, sf_dir).select(
-        "url", "pos", urls.absolute_url("url", "href").alias("target")
-    )
+    targets = urls.absolute_urls("url", "hrefs")
+    return _hrefs(spark, sf_dir).select("url", F.posexplode(targets).alias("pos", "target"))
 
 
 @register
 def same_domain_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Filtered within the page: a filter of the rows would be moved below the projection and resolve each link twice.
     links = F.transform(
-        "hrefs",
-        lambda href, pos: F.struct(pos.alias("pos"), urls.absolute_url("url", href).alias("target")),
+        urls.absolute_urls("url", "hrefs"),
+        lambda target, pos: F.struct(pos.alias("pos"), target.alias("target")),
+    )
+    own = text.let(
+        urls.normalize_domain("url"),
+        lambda domain: F.filter(links, lambda link: urls.is_of_domain(link["target"], domain)),
     )
-    own = F.filter(links, lambda link: urls.is_same_domain("url", link["target"]))
     return _hrefs(spark, sf_dir).select("url", F.inline(own))
 
 

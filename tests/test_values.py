@@ -124,3 +124,27 @@ def test_link_predicates(evaluate):
         (True, False, True), (False, True, True), (False, False, False), (False, False, False),
         (False, False, False), (False, False, False), (False, True, False), (False, True, True),
     ]
+
+
+def test_the_links_of_a_page_resolve_as_each_alone_does(evaluate):
+    """Plain references go behind a part of the base as they are, all others are taken apart."""
+    base = "http://x.org/a/../b/c;p?q=1#f"
+    expected = {
+        "": "", "HTTP://y": "HTTP://y", "/d/e;v?x#y": "http://x.org/d/e;v?x#y", "d/": "http://x.org/b/d/",
+        "d//e": "http://x.org/b/d/e", "../d/./..": "http://x.org/", "/d/../e/.": "http://x.org/e/", "d;?#": "http://x.org/b/d",
+        "..;p": "http://x.org/;p", "//Y.org/d?": "http://Y.org/d", "//Y.org/../d": "http://Y.org/../d",
+        "mailto:d": "mailto:d", "http:d": "http://x.org/b/d", "1:d": "http://x.org/b/1:d", "?z": "http://x.org/a/../b/c;p?z",
+        "#": "http://x.org/a/../b/c;p?q=1", "#z": "http://x.org/a/../b/c;p?q=1#z", "/d\t/e": "http://x.org/d/e", " d ": "http://x.org/b/d",
+    }
+    rows = [(base, [*expected]), ("mailto:x", ["a", "/b"]), (None, ["", "a", "#b"])]
+    found = evaluate(lambda: urls.absolute_urls("base", "hrefs"), rows, "base string, hrefs array<string>")
+    assert dict(zip(expected, found[0], strict=True)) == expected
+    assert found[1:] == [["a", "/b"], ["", None, None]]
+    pairs = [(base, href) for href in expected]
+    assert evaluate(lambda: urls.absolute_url("base", "href"), pairs, "base string, href string") == found[0]
+
+
+def test_a_bound_value_makes_no_array(spark):
+    bound = spark.range(1).select(text.let(F.col("id") + 1, lambda v: v * v).alias("out"))
+    assert "array(" not in bound._jdf.queryExecution().optimizedPlan().toString()
+    assert bound.first()["out"] == 1
