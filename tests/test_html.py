@@ -201,3 +201,18 @@ def test_unknown_names_cost_little(evaluate):
     start = time.perf_counter()
     (size,) = evaluate(lambda: F.length(entities.decode_text("value")), [(page,)])
     assert size == len(page) - 16_000 and time.perf_counter() - start < 4
+
+
+def test_markup_without_text_between_is_one_border(spark):
+    """Fewer matches, the same text: blanks around markup never count."""
+    page = "<p>a <b>b</b> <!-- c - -- > \n<script>d</ script><i></script>\t<RT>e</ruby></p>f g  <template>h</template>"
+    row = spark.createDataFrame([(page,)], "html string").select(
+        F.regexp_count("html", F.lit(html.MARKUP)).alias("n"), html.page_text("html").alias("text")
+    ).first()
+    assert (row["n"], row["text"]) == (4, "a b f g")
+
+
+def test_values_without_references_are_not_split(evaluate):
+    values = ["a", "", None, "a&amp;b", "&", "&copy2"]
+    assert evaluate(lambda: entities.decode_text("value"), values) == ["a", "", "", "a&b", "&", "&copy2"]
+    assert evaluate(lambda: entities.decode_attribute("value"), values) == ["a", "", "", "a&b", "&", "©2"]
