@@ -7,6 +7,7 @@ from hailbook.operators import crawl, pages, report, sites, skew
 from hailbook.plans.run import plan_run, run_sites
 from hailbook.queries import QUERIES
 from hailbook.schema import RESPONSES
+from hailbook.session import staged
 from hailbook.sinks.lines import append_processed_domains, save_cleaned_sites, save_lines
 from hailbook.sinks.results import append_results
 from hailbook.sources.lines import load_processed_domains, load_sites, read_lines
@@ -303,6 +304,18 @@ def test_only_wanted_pages_are_parsed(spark, responses):
     assert parse < join  # the functions stand above the join
 
 
+def test_the_site_list_is_cleaned_once(spark, responses):
+    lines = spark.createDataFrame(list(enumerate(LINES)), "position int, value string")
+    plans = {}
+
+    def stage(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return staged(df, name)
+
+    plan_run(sites.clean_sites(lines), spark.createDataFrame([], "domain string"), responses, stage=stage)
+    assert "RLIKE" in plans["sites"] and "RLIKE" not in plans["todo"]
+
+
 def test_report_shuffles_site_pages_once(spark, responses):
     lines = spark.createDataFrame(list(enumerate(LINES)), "position int, value string")
     run = plan_run(sites.clean_sites(lines), spark.createDataFrame([], "domain string"), responses)
